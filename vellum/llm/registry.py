@@ -7,10 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import licenses, mixing
+from vellum.llm import langid, licenses, mixing, secrets
 from vellum.plans.runtime import Scratch, table
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def _op2_sql() -> str:
+    """Match lengths and the lengths between matches give the places, for each kind."""
+    patterns = [
+        ("assign", "(?i:password|passwd|secret|token|api_?key)[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 1, 8),
+        *[(kind, pattern.replace("[0-9a-f]{8}[0-9a-f]*", "[0-9a-f]+"), 0, least) for kind, pattern, _, least in secrets.RULES[1:]],
+    ]
+    parts = [
+        f"""SELECT doc_id, row_id, {k} AS k, '{kind}' AS kind, m, v, (list_sum([length(x) for x in p[1:i]]) + coalesce(list_sum([length(x) for x in a[1:i-1]]), 0))::BIGINT AS s FROM (
+SELECT doc_id, row_id, p, a, unnest(a) AS m, unnest(g) AS v, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, row_id, string_split_regex(text, '{pattern}') AS p, regexp_extract_all(text, '{pattern}') AS a, regexp_extract_all(text, '{pattern}', {group}) AS g FROM d)) WHERE length(v) >= {least}"""
+        for k, (kind, pattern, group, least) in enumerate(patterns)
+    ]
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row_id FROM documents),
+f AS ({" UNION ALL ".join(parts)}),
+c AS (SELECT row_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+string_agg(kind || ':' || s || ':' || (s + length(m)), ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(kind || ':' || s || ':' || (s + length(m)), ',' ORDER BY s, k) AS spans FROM f GROUP BY row_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN c USING (row_id)"""
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    predicted = langid.predict(docs, langid.train(docs))
+    return predicted.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "mixing")
     sizes = scratch.save(mixing.sized(table(spark, sf_dir, "documents")), "sizes")
@@ -38,10 +67,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_secrets": op2_secrets,
+        "op4_language": op4_language,
         "op9_mixing": op9_mixing,
         "op10_licenses": op10_licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": OP9_SQL}
+    return {"op2_secrets": _op2_sql(), "op9_mixing": OP9_SQL}
