@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import langid, licenses, mixing, secrets
+from vellum.llm import langid, licenses, mixing, neardup, secrets
 from vellum.plans.runtime import Scratch, table
 
 
@@ -40,6 +40,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "neardup"), words=3, num=85, den=100)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "mixing")
     sizes = scratch.save(mixing.sized(table(spark, sf_dir, "documents")), "sizes")
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_secrets": op2_secrets,
         "op4_language": op4_language,
+        "op6_near_duplicates": op6_near_duplicates,
         "op9_mixing": op9_mixing,
         "op10_licenses": op10_licenses,
     }
