@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import langid, licenses, mixing, neardup, secrets
+from vellum.llm import decontaminate, langid, licenses, mixing, neardup, secrets
 from vellum.plans.runtime import Scratch, table
 
 
@@ -34,6 +34,12 @@ string_agg(kind || ':' || s || ':' || (s + length(m)), ',' ORDER BY s, k) FILTER
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN c USING (row_id)"""
 
 
+def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, score) of the contaminated documents."""
+    rows = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "decontaminate"))
+    return rows.where("contaminated").select("doc_id", "item_id", "score", "n_passages")
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     predicted = langid.predict(docs, langid.train(docs))
@@ -72,6 +78,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_secrets": op2_secrets,
+        "op3_contamination": op3_contamination,
         "op4_language": op4_language,
         "op6_near_duplicates": op6_near_duplicates,
         "op9_mixing": op9_mixing,
