@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import decontaminate, langid, licenses, mixing, neardup, secrets
+from vellum.llm import decontaminate, langid, licenses, mixing, neardup, repeats, secrets
 from vellum.plans.runtime import Scratch, table
 
 
@@ -50,6 +50,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "neardup"), words=3, num=85, den=100)
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "repeats"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "mixing")
     sizes = scratch.save(mixing.sized(table(spark, sf_dir, "documents")), "sizes")
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_contamination": op3_contamination,
         "op4_language": op4_language,
         "op6_near_duplicates": op6_near_duplicates,
+        "op7_repeats": op7_repeats,
         "op9_mixing": op9_mixing,
         "op10_licenses": op10_licenses,
     }
