@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import decontaminate, langid, licenses, mixing, neardup, repeats, secrets
+from vellum.llm import ann, decontaminate, langid, licenses, mixing, neardup, repeats, secrets, urls
 from vellum.plans.runtime import Scratch, table
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), Scratch(spark, "ann"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -54,6 +58,10 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "repeats"))
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "mixing")
     sizes = scratch.save(mixing.sized(table(spark, sf_dir, "documents")), "sizes")
@@ -81,11 +89,13 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_neighbours": op1_neighbours,
         "op2_secrets": op2_secrets,
         "op3_contamination": op3_contamination,
         "op4_language": op4_language,
         "op6_near_duplicates": op6_near_duplicates,
         "op7_repeats": op7_repeats,
+        "op8_urls": op8_urls,
         "op9_mixing": op9_mixing,
         "op10_licenses": op10_licenses,
     }
