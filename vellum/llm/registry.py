@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import ann, decontaminate, langid, licenses, mixing, neardup, repeats, secrets, urls
+from vellum.llm import ann, decontaminate, langid, licenses, mixing, neardup, repeats, secrets, urls, warc
 from vellum.plans.runtime import Scratch, table
 
 
@@ -50,6 +50,18 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(table(spark, sf_dir, "pages"), Scratch(spark, "warc"), zip64=True)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+o AS (SELECT payload_digest, max(page_id) AS owner FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest HAVING count(*) > 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN owner IS NULL OR page_id = owner THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> owner THEN owner END AS refers_to
+FROM p LEFT JOIN o USING (payload_digest)"""
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "neardup"), words=3, num=85, den=100)
 
@@ -93,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secrets": op2_secrets,
         "op3_contamination": op3_contamination,
         "op4_language": op4_language,
+        "op5_warc": op5_warc,
         "op6_near_duplicates": op6_near_duplicates,
         "op7_repeats": op7_repeats,
         "op8_urls": op8_urls,
@@ -102,4 +115,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": _op2_sql(), "op9_mixing": OP9_SQL}
+    return {"op2_secrets": _op2_sql(), "op5_warc": OP5_SQL, "op9_mixing": OP9_SQL}
