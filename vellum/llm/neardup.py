@@ -8,10 +8,13 @@ its rarest values, all but least_shared - 1 of them (prefix filtering, with the
 by how many sketches retain them). A value that very many documents retain thereby lists only
 documents that are made of such values.
 
-Lists are searched in two steps, without listing the pairs of a group:
+Lists are searched in steps, without listing the pairs of a group:
 1. Each node is compared with one representative of its lists, the one it shares most lists
    with. Links found here join copies of one text, however many there are, in linear time.
-2. Within lists that still hold several components, nodes of different components are compared
+2. Nodes of long lists that still hold several components are listed anew under the rarest
+   shingles of their full sets (the same prefix filter, exact there), and compared with
+   representatives again.
+3. Within lists that still hold several components, nodes of different components are compared
    by the sketch of their union. Nodes already connected need no comparison: it could not
    change the components.
 Every link is confirmed on the full sets of shingle hashes.
@@ -43,7 +46,11 @@ from vellum.llm.secrets import slices
 from vellum.plans.runtime import Scratch
 
 #: Retained values a sketch, and the chance of losing a link that `least_shared` allows.
-SKETCH, LOSS = 32, 1e-10
+SKETCH, LOSS = 64, 1e-10
+#: Lists of more nodes are refined by full sets before pairs are compared; rounds of stars for these.
+LONG, STARS = 32, 2
+#: Values of a full set that pairs are compared by ahead of their confirmation.
+WIDE = 256
 
 
 def least_shared(similarity: float, k: int = SKETCH, loss: float = LOSS) -> int:
@@ -147,6 +154,97 @@ def confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.where(enough(shared, F.size("ha").cast("long"), F.size("hb").cast("long"), num, den)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def listing(values: DataFrame) -> DataFrame:
+    """Of (fp, value, size, m, ...): the rows under the first m places of each fp's values by rarity, with `place`.
+
+    Values that nothing else holds are the rarest of all; they take up places but list nothing.
+    """
+    often = values.groupBy("value").agg(F.count("*").alias("often")).where("often > 1")
+    per = W.partitionBy("fp")
+    place = F.row_number().over(per.orderBy("often", "value")) + F.col("size") - F.count("*").over(per)
+    return values.join(often, "value").withColumn("place", place).where(F.col("place") <= F.col("m"))
+
+
+def stars(listed: DataFrame, seed: int) -> DataFrame:
+    """Pairs (a, b): each node with the head of its lists it shares most lists with; heads are a list's least hash."""
+    heads = listed.groupBy("value").agg(F.min(F.struct(F.xxhash64("fp", F.lit(seed)).alias("h"), "fp")).alias("head")).select("value", F.col("head.fp").alias("head"))
+    votes = listed.join(heads, "value").where("fp != head").groupBy("fp", "head").agg(F.count("*").alias("votes"))
+    return votes.groupBy("fp").agg(F.max(F.struct("votes", "head")).alias("best")).select(F.col("fp").alias("a"), F.col("best.head").alias("b"))
+
+
+def open_lists(listed: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The listed rows with their labels, and (value, members) of the lists that hold several labels."""
+    named = listed.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    lists = named.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("members"))
+    return named, lists.where("x != y").select("value", "members")
+
+
+def compare(n: np.ndarray, labels: list, sketches: list[np.ndarray], k: int, num: int, den: int, block: int = 512) -> Iterator[tuple[int, int]]:
+    """Pairs of a list's members with different labels that may be similar enough, by blocks of members.
+
+    Sets of at most k hashes are their own sketches; pairs of these are decided here, and only
+    those that join components are returned. Of other pairs all are returned whose sketches
+    share as many values as similar sets' sketches do.
+    """
+    wanted, root = least_shared(num / den, k), {}
+
+    def find(x):
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    _, label = np.unique(np.array(labels, object).astype("S32"), return_inverse=True)
+    for i in range(0, len(n), block):
+        for j in range(i, len(n), block):
+            left, right = range(i, min(i + block, len(n))), range(j, min(j + block, len(n)))
+            values, codes = np.unique(np.concatenate([sketches[x] for x in (*left, *right)]), return_inverse=True)
+            rows = np.repeat(np.arange(len(left) + len(right)), [len(sketches[x]) for x in (*left, *right)])
+            often = np.bincount(codes, minlength=len(values)) > 1
+            codes, rows = (np.cumsum(often) - 1)[codes][often[codes]], rows[often[codes]]
+            held = np.zeros((len(left) + len(right), int(often.sum())), np.float32)
+            held[rows, codes] = 1
+            shared = (held[: len(left)] @ held[len(left) :].T).astype(np.int64)
+            na, nb = n[i : i + len(left), None], n[None, j : j + len(right)]
+            exact = np.maximum(na, nb) <= k
+            enough = np.where(exact, shared * (num + den) >= (na + nb) * num, shared >= np.minimum(-(-np.minimum(na, nb) * num // den), wanted))
+            enough &= (np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & (label[i : i + len(left), None] != label[None, j : j + len(right)])
+            for x, y in zip(*np.nonzero(enough), strict=True):
+                if i + x < j + y:
+                    p, q = find(int(label[i + x])), find(int(label[j + y]))
+                    if p != q:
+                        if exact[x, y]:
+                            root[p] = q
+                        yield i + int(x), j + int(y)
+
+
+def meeting(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of (value, fp, n, label, sketch) that meet under a value and may be similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            fps, n, labels, sketches = zip(*held, strict=True)
+            pairs = [tuple(sorted((fps[x], fps[y]))) for x, y in compare(np.array(n), labels, sketches, k, num, den)]
+            return pa.RecordBatch.from_arrays([pa.array([p[c] for p in pairs], pa.binary()) for c in (0, 1)], names=["a", "b"])
+
+        value = None
+        for batch in batches:
+            sketch = batch.column(4)
+            offsets, flat = np.asarray(sketch.offsets), np.asarray(sketch.values)
+            for i, (v, *row) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+                if v != value and held:
+                    yield flush()
+                    held = []
+                value = v
+                held.append((*row, flat[offsets[i] : offsets[i + 1]]))
+        if held:
+            yield flush()
+
+    dealt = rows.select("value", "fp", "n", "label", "sketch").repartition("value").sortWithinPartitions("value")
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, num: int = 80, den: int = 100, k: int = SKETCH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per document."""
     o = least_shared(num / den, k)
@@ -156,48 +254,38 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, num: int
 
     # Sets of at most k shingles are their own sketch, and so is any set similar to one of at most small.
     small = k * num // den
-    shared = F.when(F.col("n") <= small, F.ceil(F.col("n") * num / F.lit(den))).otherwise(F.lit(o)).cast("int")
+    of_both = F.ceil(F.col("n") * num / F.lit(den)).cast("int")
+    shared = F.when(F.col("n") <= small, of_both).otherwise(F.lit(o))
     values = nodes.select("fp", "n", (F.size("sketch") - shared + 1).alias("m"), F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
-    often = values.groupBy("value").agg(F.count("*").alias("often")).where("often > 1")
-    met = values.join(often, "value")
-    per = W.partitionBy("fp")
-    # Values that nothing else retains are the rarest of all; they take up places but list nothing.
-    place = F.row_number().over(per.orderBy("often", "value")) + F.col("size") - F.count("*").over(per)
-    listed = scratch.save(met.withColumn("place", place).where(F.col("place") <= F.col("m")).select("value", "fp", "n"), "lists")
+    listed = scratch.save(listing(values).select("value", "fp", "n"), "lists")
     wanted = listed.select("fp").distinct().join(nodes, "fp").select("doc_id", "fp")
     full = scratch.save(full_sets(docs, wanted, words), "sets")
-
-    heads = listed.groupBy("value").agg(F.min("fp").alias("head"))
-    votes = listed.join(heads, "value").where("fp != head").groupBy("fp", "head").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("fp").agg(F.max(F.struct("votes", "head")).alias("best")).select(F.col("fp").alias("a"), F.col("best.head").alias("b"))
-    stars = scratch.save(confirm(best, full, num, den), "stars")
-    labels = scratch.save(connected_components(stars, scratch), "labels")
-
-    named = listed.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    open_lists = named.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("value")
-    rest = scratch.save(named.join(open_lists, "value", "left_semi").join(nodes.select("fp", "sketch"), "fp"), "open")
-    a, b = rest.alias("a"), rest.alias("b")
-    either = F.array_union("a.sketch", "b.sketch")
-    both = F.array_intersect("a.sketch", "b.sketch")
-    of_union = F.size(F.array_intersect(F.slice(F.array_sort(either), 1, k), both))
-    least = F.least(F.ceil(F.least("a.n", "b.n") * num / F.lit(den)), F.lit(o))
-    meet = (
-        (F.col("a.value") == F.col("b.value"))
-        & (F.col("a.label") < F.col("b.label"))
-        & (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num)
-        & (F.size(both) >= least)
-        & (of_union >= least)
-    )
-    pairs = a.join(b, meet).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
-    links = confirm(pairs, full, num, den)
-    links = links.join(labels.select(F.col("node").alias("u"), F.col("label").alias("lu")), "u", "left").join(labels.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v", "left")
-    bridges = links.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
-    merged = scratch.save(connected_components(bridges, scratch), "merged")
+    edges = scratch.save(confirm(stars(listed, 0), full, num, den), "stars")
+    labels = scratch.save(connected_components(edges, scratch), "labels")
+
+    # Long lists that are still open: their nodes are listed anew, under their full sets' rarest
+    # shingles. That is an exact filter, and one that shared lines and passages hardly pass.
+    named, still = open_lists(listed, labels)
+    long = named.join(still.where(F.col("members") > LONG), "value", "left_semi").select("fp", "n").distinct()
+    whole = full.join(long, "fp").select("fp", "n", (F.col("n") - of_both + 1).alias("m"), F.col("n").cast("int").alias("size"), F.explode("hashes").alias("value"))
+    deep = scratch.save(listing(whole).select("value", "fp", "n", "place"), "deep")
+    for seed in range(1, 1 + STARS):
+        named, still = open_lists(deep, labels)
+        more = scratch.save(confirm(stars(named.join(still, "value", "left_semi"), seed), full, num, den), "stars")
+        edges = edges.unionByName(more)
+        labels = scratch.save(connected_components(edges, scratch), "labels")
+
+    named, still = open_lists(listed, labels)
+    short = named.join(still.where(F.col("members") <= LONG), "value", "left_semi").join(nodes.select("fp", "sketch"), "fp")
+    named, still = open_lists(deep, labels)
+    wide = named.join(still, "value", "left_semi").join(full.select("fp", F.slice("hashes", 1, WIDE).alias("sketch")), "fp")
+    pairs = meeting(short, k, num, den).unionByName(meeting(wide, WIDE, num, den)).distinct()
+    links = scratch.save(confirm(pairs, full, num, den), "links")
+    labels = scratch.save(connected_components(edges.unionByName(links), scratch), "labels")
 
     final = nodes.select("fp", "doc_id").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    final = final.join(merged.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").withColumn("root", F.coalesce("root", "label"))
-    roots = final.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = final.join(roots, "root").select("fp", "component_id")
+    roots = final.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    of_node = final.join(roots, "label").select("fp", "component_id")
     grouped = sets.where(F.col("fp").isNotNull()).join(of_node, "fp").select("doc_id", "n_shingles", "component_id")
     alone = sets.where(F.col("fp").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return grouped.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
