@@ -136,6 +136,23 @@ def indent_width(x: C) -> Column:
     return F.length(lead) + 7 * F.regexp_count(lead, F.lit(r"\t"))
 
 
+def places(text: C, pattern: str, group: int = 0) -> Column:
+    """array<struct<raw, group, at>>: a pattern's matches with their offsets, from the lengths of what stands between them."""
+    t = col(text)
+    raw, inner = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.regexp_extract_all(t, F.lit(pattern), F.lit(group))
+    zipped = F.arrays_zip(raw.alias("raw"), inner.alias("inner"), F.slice(F.split(t, pattern, -1), 1, F.size(raw)).alias("gap"))
+    empty = F.array().cast("array<struct<raw:string,inner:string,at:int>>")
+    walk = F.aggregate(
+        zipped,
+        F.struct(F.lit(0).alias("n"), empty.alias("out")),
+        lambda acc, x: F.struct(
+            (acc["n"] + F.length(x["gap"]) + F.length(x["raw"])).alias("n"),
+            F.concat(acc["out"], F.array(F.struct(x["raw"].alias("raw"), x["inner"].alias("inner"), (acc["n"] + F.length(x["gap"])).alias("at")))).alias("out"),
+        ),
+    )
+    return walk["out"]
+
+
 def stable_json(value) -> str:
     """Sorted keys, no space, nulls kept, non-ASCII as it is; missing values are to be left out by the caller."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
