@@ -11,9 +11,9 @@ documents that are made of such values.
 Lists are searched in steps, without listing the pairs of a group:
 1. Each node is compared with one representative of its lists, the one it shares most lists
    with. Links found here join copies of one text, however many there are, in linear time.
-2. Nodes of long lists that still hold several components are listed anew under the rarest
-   shingles of their full sets (the same prefix filter, exact there), and compared with
-   representatives again.
+2. Lists that are not short and still hold several components try another representative;
+   nodes of very long ones are listed anew under the rarest shingles of their full sets (the
+   same prefix filter, exact there).
 3. Within lists that still hold several components, nodes of different components are compared
    by the sketch of their union. Nodes already connected need no comparison: it could not
    change the components.
@@ -47,8 +47,9 @@ from vellum.plans.runtime import Scratch
 
 #: Retained values a sketch, and the chance of losing a link that `least_shared` allows.
 SKETCH, LOSS = 64, 1e-10
-#: Lists of more nodes are refined by full sets before pairs are compared; rounds of stars for these.
-LONG, STARS = 32, 2
+#: Lists of up to SHORT nodes are compared by sketches; of up to LONG by wide ones, after another
+#: round of representatives; the nodes of longer ones are listed anew by their full sets first.
+SHORT, LONG = 32, 8192
 #: Values of a full set that pairs are compared by ahead of their confirmation.
 WIDE = 256
 
@@ -263,22 +264,32 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, num: int
     edges = scratch.save(confirm(stars(listed, 0), full, num, den), "stars")
     labels = scratch.save(connected_components(edges, scratch), "labels")
 
-    # Long lists that are still open: their nodes are listed anew, under their full sets' rarest
-    # shingles. That is an exact filter, and one that shared lines and passages hardly pass.
+    def again(rows: DataFrame, seed: int) -> None:
+        nonlocal edges, labels
+        more = scratch.save(confirm(stars(rows, seed), full, num, den), "stars")
+        edges = edges.unionByName(more)
+        labels = scratch.save(connected_components(edges, scratch), "labels")
+
+    def widely(rows: DataFrame, lists: DataFrame) -> DataFrame:
+        return rows.join(lists, "value", "left_semi").join(full.select("fp", F.slice("hashes", 1, WIDE).alias("sketch")), "fp").select("value", "fp", "n", "label", "sketch")
+
+    named, still = open_lists(listed, labels)
+    again(named.join(still.where(F.col("members") > SHORT), "value", "left_semi"), 1)
+    # Nodes of long lists that are still open are listed under their full sets' rarest shingles:
+    # an exact filter, and one that shared lines and passages hardly pass.
     named, still = open_lists(listed, labels)
     long = named.join(still.where(F.col("members") > LONG), "value", "left_semi").select("fp", "n").distinct()
     whole = full.join(long, "fp").select("fp", "n", (F.col("n") - of_both + 1).alias("m"), F.col("n").cast("int").alias("size"), F.explode("hashes").alias("value"))
-    deep = scratch.save(listing(whole).select("value", "fp", "n", "place"), "deep")
-    for seed in range(1, 1 + STARS):
+    deep = scratch.save(listing(whole).select("value", "fp", "n"), "deep")
+    wide = None
+    if not deep.isEmpty():
         named, still = open_lists(deep, labels)
-        more = scratch.save(confirm(stars(named.join(still, "value", "left_semi"), seed), full, num, den), "stars")
-        edges = edges.unionByName(more)
-        labels = scratch.save(connected_components(edges, scratch), "labels")
-
+        again(named.join(still, "value", "left_semi"), 2)
+        wide = widely(*open_lists(deep, labels))
     named, still = open_lists(listed, labels)
-    short = named.join(still.where(F.col("members") <= LONG), "value", "left_semi").join(nodes.select("fp", "sketch"), "fp")
-    named, still = open_lists(deep, labels)
-    wide = named.join(still, "value", "left_semi").join(full.select("fp", F.slice("hashes", 1, WIDE).alias("sketch")), "fp")
+    middle = widely(named, still.where(F.col("members").between(SHORT + 1, LONG)))
+    wide = middle if wide is None else wide.unionByName(middle)
+    short = named.join(still.where(F.col("members") <= SHORT), "value", "left_semi").join(nodes.select("fp", "sketch"), "fp")
     pairs = meeting(short, k, num, den).unionByName(meeting(wide, WIDE, num, den)).distinct()
     links = scratch.save(confirm(pairs, full, num, den), "links")
     labels = scratch.save(connected_components(edges.unionByName(links), scratch), "labels")
