@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from vellum.functions import scalars
+from vellum.operators import citations, diffs, normative, references, search, structure
+from vellum.plans import rendered
 from vellum.plans.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,21 +27,307 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("content_hash_ids", "SELECT doc_id, sha256(text) AS sha, substr(sha256(text), 1, 24) AS short_id, length(text) AS code_points, octet_length(encode(text)) AS utf8_bytes FROM documents")
+#: The rendered corpus's lines, for oracles that compute from the columns.
+LINES = """lines AS (SELECT *, ((p + n) % 8)::INT AS template FROM (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n,
+l_partkey AS p, l_suppkey AS s, l_quantity::INT AS q, l_returnflag AS rf, l_linestatus AS ls FROM lineitem))"""
+#: The terms each template states, as (template, term_no, term, strength, polarity).
+STATED = """stated(template, term_no, term, strength, polarity) AS (VALUES (0, 0, 'MUST NOT', 'absolute', 'negative'), (1, 0, 'MUST', 'absolute', 'positive'), (2, 0, 'SHOULD', 'recommendation', 'positive'),
+(3, 0, 'MUST NOT', 'absolute', 'negative'), (7, 0, 'OPTIONAL', 'optional', 'positive'), (7, 1, 'MAY', 'optional', 'positive'))"""
+
+
+# --- Structure and scalars over the driver's own texts.
+
+
+@query("line_count_by_doc", r"""
+WITH l AS (SELECT doc_id, unnest(str_split(text, chr(10))) AS v FROM documents)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (regexp_replace(v, '[ \t\r\x0b\x0c]+', '', 'g') = '') AS n_blank FROM l GROUP BY doc_id""")
+def line_count_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = structure.lines(table(spark, sf_dir, "documents"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("is_blank").alias("n_blank"))
+
+
+@query("line_offsets", """
+WITH l AS (SELECT doc_id, unnest(str_split(text, chr(10))) AS v, generate_subscripts(str_split(text, chr(10)), 1) AS line FROM documents)
+SELECT doc_id, line::BIGINT AS line, (coalesce(sum(length(v) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start, length(v)::BIGINT AS n_chars FROM l""")
+def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = structure.lines(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("line").cast("long").alias("line"), F.col("start").cast("long").alias("start"), F.length("value").cast("long").alias("n_chars"))
+
+
+@query("span_bytes_codepoints", """
+SELECT doc_id, octet_length(encode(substr(text, 1, 100)))::BIGINT AS byte_start, octet_length(encode(substr(text, 1, 250)))::BIGINT AS byte_end, length(substr(text, 1, 100))::BIGINT AS codepoint_start, length(substr(text, 1, 250))::BIGINT AS codepoint_end FROM documents""")
+def span_bytes_codepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").withColumns({"a": F.least(F.lit(100), F.length("text")), "b": F.least(F.lit(250), F.length("text"))})
+    s = scalars.span_at("text", "a", "b")
+    return d.select("doc_id", *[s[c].alias(c) for c in ("byte_start", "byte_end", "codepoint_start", "codepoint_end")])
+
+
+@query("content_hash_ids", "SELECT doc_id, sha256(text) AS sha, substr(sha256(text), 1, 24) AS short_id, length(text)::BIGINT AS code_points, octet_length(encode(text))::BIGINT AS utf8_bytes FROM documents")
 def content_hash_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sha = F.sha2("text", 256)
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", sha.alias("sha"), F.substring(sha, 1, 24).alias("short_id"), F.length("text").cast("long").alias("code_points"), F.octet_length("text").cast("long").alias("utf8_bytes")
-    )
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), scalars.short_hash("text").alias("short_id"), F.length("text").cast("long").alias("code_points"), scalars.utf8_size("text").alias("utf8_bytes"))
+
+
+@query("exact_duplicate_docs", "SELECT sha256(text) AS sha, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_duplicate_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
+
+
+@query("collapse_whitespace", r"SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r\x0b\x0c]+', ' ', 'g')) AS collapsed FROM documents")
+def collapse_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.collapse("text").alias("collapsed"))
+
+
+@query("citation_ids", "SELECT doc_id, 'cit_' || substr(sha256('snp' || '|' || 'blk' || '|' || doc_id || '|' || substr(sha256(text), 1, 32)), 1, 24) AS citation_id, 'scit_' || substr(sha256('rfc' || doc_id || '|' || lang || '|' || substr(sha256(text), 1, 32) || '|0'), 1, 24) AS stable_id FROM documents")
+def citation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", scalars.citation_id(F.lit("snp"), F.lit("blk"), "doc_id", "text").alias("citation_id"), scalars.stable_citation_id("doc_id", "lang", "text").alias("stable_id"))
+
+
+@query("latest_per_key", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    latest = F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(latest.alias("e")).select("user_id", "e.*")
+
+
+@query("status_counts", "SELECT replace(lower(trim(event_type)), ' ', '_') AS status, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slug = F.regexp_replace(F.lower(F.trim("event_type")), " ", "_")
+    return table(spark, sf_dir, "events").groupBy(slug.alias("status")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+
+
+@query("phrase_search", r"""
+WITH t AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+'), ' ') || ' ' AS s FROM documents)
+SELECT doc_id FROM t WHERE contains(s, ' of the ') AND NOT contains(s, ' and the ')""")
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = search.parse_query('"of the" NOT "and the"')
+    return table(spark, sf_dir, "documents").where(search.matches(q, search.token_string("text"))).select("doc_id")
+
+
+@query("phrase_positions", r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM t)
+SELECT a.doc_id AS key, count(*) AS n FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.token = 'of' AND b.token = 'the' GROUP BY 1""")
+def phrase_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return search.phrase(found, ["of", "the"]).groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query("bm25_top", r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM documents),
+p AS (SELECT doc_id, token, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, unnest(w) AS token, len(w) AS n FROM t) GROUP BY 1, 2),
+st AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM t WHERE len(w) > 0), d AS (SELECT token, count(*) AS df FROM p GROUP BY 1),
+s AS (SELECT doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS score FROM p JOIN d USING (token), st WHERE token IN ('this', 'was') GROUP BY 1)
+SELECT doc_id, round(score, 6) AS score FROM s ORDER BY round(score, 6) DESC, doc_id LIMIT 50""")
+def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
+    scores = search.bm25(found, ["this", "was"]).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+    return scores.orderBy(F.desc("score"), "doc_id").limit(50)
+
+
+@query("orphan_anti", "SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def orphan_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id").join(table(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id", "left_anti")
+
+
+@query("redirect_compression", """
+WITH RECURSIVE hop AS (SELECT n_nationkey AS old_id, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_nationkey - 1 END AS new_id FROM nation),
+w AS (SELECT old_id, new_id AS goal FROM hop WHERE new_id IS NOT NULL UNION ALL SELECT w.old_id, hop.new_id FROM w JOIN hop ON w.goal = hop.old_id WHERE hop.new_id IS NOT NULL)
+SELECT old_id, min(goal) AS new_id FROM w GROUP BY 1""")
+def redirect_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.plans import store
+
+    keys = [r[0] for r in table(spark, sf_dir, "nation").select("n_nationkey").orderBy(F.desc("n_nationkey")).collect()]  # a chain of a few versions
+    redirects = spark.createDataFrame([], "old_id int, new_id int")
+    for step in (4, 3, 2, 1):  # version by version: all nations of one remainder are replaced at once
+        redirects = store.add_redirects(redirects, spark.createDataFrame([(k, k - 1) for k in keys if k % 5 == step], "old_id int, new_id int"))
+    return redirects
+
+
+@query("bounded_match", """
+WITH b AS (SELECT item_id, trim(regexp_replace(text, '[ \\t\\n\\r\\x0b\\x0c]+', ' ', 'g')) AS t FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\x0b\\x0c]+', ' ', 'g')) AS t FROM documents)
+SELECT item_id, doc_id, length(d.t)::DOUBLE / length(b.t) AS ratio, length(d.t)::DOUBLE / length(b.t) <= 1.5 AS bounded FROM b JOIN d ON contains(d.t, b.t)""")
+def bounded_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.operators import evaluation
+
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("probe"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("row"))
+    return evaluation.bounded_match(d, b, "doc_id", "item_id")
+
+
+@query("eval_quantiles", """
+WITH s AS (SELECT lang, list_sort(list(n_chars)) AS v FROM documents WHERE lang IS NOT NULL GROUP BY lang), p AS (SELECT unnest([0.1, 0.5, 0.9]) AS p)
+SELECT lang, p::DOUBLE AS p, v[(floor(p * (len(v) - 1) + 0.5) + 1)::INT] AS value FROM s, p""")
+def eval_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.operators import evaluation
+
+    return evaluation.quantiles(table(spark, sf_dir, "documents").where("lang IS NOT NULL"), "lang", "n_chars", (0.1, 0.5, 0.9))
+
+
+# --- The domain's operators over the rendered corpus; oracles compute from the columns.
+
+
+def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = rendered.corpus(spark, sf_dir)
+    return normative.mentions(c["blocks"], c["sections"])
+
+
+@query("mentions_by_term", f"WITH {LINES}, {STATED} SELECT term, strength, polarity, count(*) AS n, count(DISTINCT o) AS docs FROM lines JOIN stated USING (template) GROUP BY 1, 2, 3")
+def mentions_by_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mentions(spark, sf_dir).groupBy("term", "strength", "polarity").agg(F.count("*").alias("n"), F.countDistinct("rfc").alias("docs"))
+
+
+@query("polarity_fold", f"WITH {LINES} SELECT o AS rfc, n::VARCHAR AS section_number, 'The buyer MUST not refuse part ' || p || '.' AS exact_text, 'MUST NOT' AS term FROM lines WHERE template = 3")
+def polarity_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mentions(spark, sf_dir).where(F.array_contains("flags", "negation_case_not_upper")).select("rfc", "section_number", "exact_text", "term")
+
+
+@query("requirement_rows", f"""WITH {LINES}, {STATED}
+SELECT o AS rfc, n::VARCHAR AS section_number, term, polarity, CASE WHEN template = 7 THEN 2 ELSE 1 END AS n_keywords FROM lines JOIN stated USING (template) WHERE term_no = 0""")
+def requirement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normative.requirements(_mentions(spark, sf_dir)).select("rfc", "section_number", "term", "polarity", F.size("keywords").alias("n_keywords"))
+
+
+@query("requirement_clauses", f"""WITH {LINES}
+SELECT o AS rfc, n::VARCHAR AS section_number, CASE template WHEN 0 THEN 'the supplier ' || s WHEN 1 THEN 'The supplier ' || s ELSE 'A carrier' END AS actor,
+CASE template WHEN 0 THEN 'If the quantity exceeds ' || q END AS condition, CASE template WHEN 0 THEN 'ship part ' || p || '.' WHEN 1 THEN 'ship part ' || p || ' in time.' ELSE 'inspect part ' || p || ' before it is loaded.' END AS action FROM lines WHERE template IN (0, 1, 2)""")
+def requirement_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = normative.requirements(_mentions(spark, sf_dir).where("term IN ('MUST NOT', 'MUST', 'SHOULD') AND NOT array_contains(flags, 'negation_case_not_upper')"))
+    return rows.select("rfc", "section_number", "clause.actor", "clause.condition", "clause.action")
+
+
+@query("candidate_rows", f"WITH {LINES} SELECT o AS rfc, n::VARCHAR AS section_number, 'may' AS keyword, 'lower' AS keyword_case, 'modal' AS role FROM lines WHERE template = 4 UNION ALL SELECT o, n::VARCHAR, 'MUST', 'upper', 'modal' FROM lines WHERE rf = 'R'")
+def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = rendered.corpus(spark, sf_dir)
+    return normative.candidates(c["blocks"], c["sections"]).select("rfc", "section_number", "keyword", "keyword_case", "role")
+
+
+@query("candidate_rank", f"WITH {LINES}, c AS (SELECT o, n, 0 AS b, 8 + 4 + 2 AS rank_score FROM lines WHERE template = 4 UNION ALL SELECT o, n, 1, 4 FROM lines WHERE rf = 'R') SELECT o AS rfc, rank_score, row_number() OVER (PARTITION BY o ORDER BY rank_score DESC, n, b) AS rank, n::VARCHAR AS section_number FROM c")
+def candidate_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = rendered.corpus(spark, sf_dir)
+    return normative.rank_candidates(normative.candidates(c["blocks"], c["sections"])).select("rfc", F.col("rank_score").cast("int").alias("rank_score"), F.col("rank").cast("long").alias("rank"), "section_number")
+
+
+@query("declarative_rows", f"WITH {LINES} SELECT o AS rfc, 'numeric-bound' AS basis, 'The limit for part ' || p || ' is ' || q || ' bytes.' AS exact_text FROM lines WHERE template = 5")
+def declarative_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = rendered.corpus(spark, sf_dir)
+    return normative.declaratives(c["blocks"], c["sections"]).where("basis IS NOT NULL").select("rfc", "basis", "exact_text")
+
+
+@query("unscanned_counters", f"""WITH {LINES}, d AS (SELECT o, count(*) AS n, count(*) FILTER (rf = 'R') AS tables, count(DISTINCT CASE WHEN template = 6 THEN s % 50 END) AS entries FROM lines GROUP BY o)
+SELECT o AS rfc, (1 + n + tables + entries)::BIGINT AS block_count, (tables + entries)::BIGINT AS unscanned, tables::BIGINT AS unscanned_with_term, tables::BIGINT AS tables, entries::BIGINT AS reference_blocks FROM d""")
+def unscanned_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = rendered.corpus(spark, sf_dir)
+    totals = normative.coverage(c["blocks"], c["sections"]).join(c["snapshots"].select(F.col("id").alias("snapshot_id"), "rfc"), "snapshot_id")
+    kind = lambda k: F.coalesce(F.try_element_at("unscanned_kinds", F.lit(k)), F.lit(0)).cast("long")
+    return totals.select("rfc", "block_count", "unscanned", "unscanned_with_term", kind("table").alias("tables"), kind("section:references").alias("reference_blocks"))
+
+
+@query("completeness_verdicts", f"""WITH {LINES}, d AS (SELECT o, count(*) FILTER (rf = 'R') AS tables FROM lines GROUP BY o) SELECT CASE WHEN tables > 0 THEN 'partial' ELSE 'complete' END AS completeness, count(*) AS n FROM d GROUP BY 1""")
+def completeness_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = rendered.corpus(spark, sf_dir)
+    return normative.completeness(normative.coverage(c["blocks"], c["sections"])).groupBy("completeness").agg(F.count("*").alias("n"))
+
+
+@query("section_prefix_filter", f"WITH {LINES} SELECT o AS rfc, 'Item ' || n AS title FROM lines WHERE n = 1")
+def section_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendered.corpus(spark, sf_dir)["sections"].where(search.section_prefix("number", "1")).select("rfc", "title")
+
+
+@query("section_tree", f"""WITH {LINES}, d AS (SELECT o, count(*) AS n, count(DISTINCT CASE WHEN template = 6 THEN s % 50 END) AS e FROM lines GROUP BY o)
+SELECT o AS rfc, (1 + n + CASE WHEN e > 0 THEN 1 ELSE 0 END)::BIGINT AS sections, n::BIGINT AS bodies, (CASE WHEN e > 0 THEN 1 ELSE 0 END)::BIGINT AS reference_sections FROM d""")
+def section_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = rendered.corpus(spark, sf_dir)["sections"]
+    return s.groupBy("rfc").agg(F.count("*").alias("sections"), F.count_if(F.col("kind") == "body").alias("bodies"), F.count_if(F.col("kind") == "references").alias("reference_sections"))
+
+
+@query("offset_round_trip", f"WITH {LINES} SELECT count(DISTINCT o) AS docs, 0::BIGINT AS mismatches FROM lines")
+def offset_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = rendered.corpus(spark, sf_dir)
+    rows = c["blocks"].select("snapshot_id", "text", "byte_start", "byte_end").join(c["snapshots"].select(F.col("id").alias("snapshot_id"), "raw"), "snapshot_id")
+    piece = F.decode(F.substr("raw", F.col("byte_start") + 1, F.col("byte_end") - F.col("byte_start")), "UTF-8")
+    return rows.agg(F.countDistinct("snapshot_id").alias("docs"), F.count_if(piece != F.col("text")).alias("mismatches"))
+
+
+@query("reference_resolution", f"WITH {LINES} SELECT DISTINCT o AS rfc, 'RFC' || (1000 + s % 50) AS label, 'normative' AS relation, 'rfc' AS target_kind, (1000 + s % 50)::INT AS target_rfc, 'exact' AS resolution FROM lines WHERE template = 6")
+def reference_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = rendered.corpus(spark, sf_dir)
+    return references.entries(c["blocks"], c["sections"]).select("rfc", "label", "relation", "target_kind", "target_rfc", "resolution")
+
+
+@query("citation_sites", f"WITH {LINES} SELECT o AS rfc, 'RFC' || (1000 + s % 50) AS label, count(*) AS n FROM lines WHERE template = 6 GROUP BY 1, 2")
+def citation_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = rendered.corpus(spark, sf_dir)
+    listed = references.entries(c["blocks"], c["sections"])
+    _, cited = references.cited(listed, references.sites(c["blocks"], c["sections"]))
+    return cited.join(listed.select(F.col("id").alias("reference_id"), "rfc", "label"), "reference_id").groupBy("rfc", "label").agg(F.count("*").alias("n"))
+
+
+@query("graph_edges", """
+WITH e AS (SELECT n_nationkey AS rfc, 'doc:rfc-' || n_nationkey AS source, 'doc:rfc-' || (100 + n_regionkey) AS destination, 'obsoletes' AS type FROM nation
+UNION ALL SELECT DISTINCT s_nationkey, 'doc:rfc-' || s_nationkey, 'doc:rfc-' || (1000 + s_suppkey % 7), 'cites_normative' FROM supplier)
+SELECT rfc::BIGINT AS rfc, source, destination, type FROM e""")
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("rfc"), F.array((F.col("n_regionkey") + 100).cast("long")).alias("obsoletes"))
+    none = F.array().cast("array<bigint>")
+    meta = nation.withColumns({"obsoleted_by": none, "updates": none, "updated_by": none})
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("rfc"), (1000 + F.col("s_suppkey") % 7).cast("int").alias("target_rfc")).distinct()
+    refs = s.select("rfc", F.lit("normative").alias("relation"), F.concat(F.lit("RFC"), F.col("target_rfc").cast("string")).alias("label"), F.lit("rfc").alias("target_kind"), F.lit(None).cast("string").alias("target"), "target_rfc", F.col("target_rfc").alias("ordinal"))
+    inbound = spark.createDataFrame([], "rfc long, source_rfc long, relation string")
+    return references.edges(refs, meta, inbound).select("rfc", "source", "destination", "type")
+
+
+def _pairs(spark: SparkSession, sf_dir: str, part: str) -> tuple[DataFrame, DataFrame]:
+    both = [rendered.corpus(spark, sf_dir, v) for v in (1, 2)]
+    return tuple(c[part].withColumn("pair_id", F.col("rfc")) for c in both)
+
+
+@query("diff_structure", f"WITH {LINES} SELECT o AS pair_id, 'renamed' AS kind, n::VARCHAR AS key, 'Item 2' AS before, 'Item 2 revised' AS after FROM lines WHERE n = 2")
+def diff_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diffs.structure(*_pairs(spark, sf_dir, "sections"))
+
+
+@query("diff_requirements", f"WITH {LINES} SELECT o AS pair_id, 'modality_changed' AS kind, 'MUST NOT' AS before, 'SHOULD NOT' AS after, count(*) AS n FROM lines WHERE template = 0 GROUP BY 1")
+def diff_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sides = []
+    for version in (1, 2):
+        c = rendered.corpus(spark, sf_dir, version)
+        sides.append(normative.requirements(normative.mentions(c["blocks"], c["sections"])).withColumn("pair_id", F.col("rfc")))
+    return diffs.requirements(*sides).groupBy("pair_id", "kind", "before", "after").agg(F.count("*").alias("n"))
+
+
+@query("diff_text", None)
+def diff_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _pairs(spark, sf_dir, "snapshots")
+    pairs = a.select("pair_id", F.decode("raw", "UTF-8").alias("before")).join(b.select("pair_id", F.decode("raw", "UTF-8").alias("after")), "pair_id")
+    return diffs.text(pairs.where("before <> after"))
+
+
+@query("verify_citations", f"WITH {LINES}, {STATED} SELECT 'verified' AS status, count(*) AS n FROM lines JOIN stated USING (template) WHERE term_no = 0")
+def verify_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = rendered.corpus(spark, sf_dir)
+    found = normative.mentions(c["blocks"], c["sections"])
+    own = normative.requirements(found)
+    known = citations.known_citations(own, found)
+    return citations.verify(own.select("citation_id"), known, c["blocks"], c["snapshots"]).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("verify_stable_across_versions", f"""WITH {LINES}, {STATED} SELECT CASE WHEN template = 0 THEN 'stale' ELSE 'verified' END AS status, count(*) AS n FROM lines JOIN stated USING (template) WHERE term_no = 0 GROUP BY 1""")
+def verify_stable_across_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, later = rendered.corpus(spark, sf_dir), rendered.corpus(spark, sf_dir, 2)
+    own = normative.requirements(normative.mentions(c["blocks"], c["sections"])).select("stable_id", "rfc", "section_number")
+    return citations.verify_stable(own, later["blocks"], later["sections"]).groupBy("status").agg(F.count("*").alias("n"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return content_hash_ids(spark, sf_dir)
+    return mentions_by_term(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES
+    return dict(ORACLES)
+
+
+__all__ = ["entry", "queries", "oracle_sql", "W"]
