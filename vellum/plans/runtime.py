@@ -57,28 +57,30 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_root(spark)}/vellum-{name}-{uuid.uuid4().hex}"
         self.n = 0
-        self.paths: dict[int, str] = {}
+        self.saved: list[tuple[DataFrame, str]] = []
 
     def save(self, df: DataFrame, label: str = "t") -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n:04d}-{label}"
+        path = self.folder(label)
         df.write.parquet(path)
         out = self.spark.read.schema(nullable(df.schema)).parquet(path)
-        self.paths[id(out)] = path
-        # The frame itself is kept so that its id cannot be reused by another one.
-        self.paths[-self.n] = out  # type: ignore[assignment]
+        self.saved.append((out, path))
         return out
 
     def folder(self, label: str) -> str:
-        """A new folder under the scratch root for files that are not Parquet tables."""
+        """A new folder under the scratch root; also for files that are not Parquet tables."""
         self.n += 1
         return f"{self.root}/{self.n:04d}-{label}"
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
+        gone = [path for frame, path in self.saved if any(frame is f for f in frames)]
+        self.saved = [(frame, path) for frame, path in self.saved if path not in gone]
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for frame in frames:
-            path = self.paths.pop(id(frame), None)
-            if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+        for path in gone:
+            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+    def finish(self, df: DataFrame, label: str = "result") -> DataFrame:
+        """Save an operator's result and drop all its other tables."""
+        out = self.save(df, label)
+        self.drop(*[frame for frame, _ in self.saved if frame is not out])
+        return out
