@@ -127,6 +127,8 @@ def passages(docs: DataFrame, bitmap: np.ndarray, reach: int, lengths: list[int]
                 at = at[at + m <= ends[doc_of[at]]]
                 where.append(at)
                 found.append(grams[at])
+            if not where:
+                continue
             where, found = np.concatenate(where), np.concatenate(found)
             order = np.argsort(where, kind="stable")
             where, found = where[order], found[order]
@@ -204,4 +206,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, n: in
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["doc_id", "item_id", "score"])
 
     scored = joined.select("doc_id", "item_id", "words", "item").mapInArrow(run, "doc_id long, item_id long, score double")
-    return scored.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.count("*").alias("n_passages")).withColumn("contaminated", F.col("score") >= threshold)
+    best = scored.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.count("*").alias("n_passages"))
+    return scratch.finish(best.withColumn("contaminated", F.col("score") >= threshold))

@@ -257,12 +257,15 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     """keep, lang_pred and score. The model's size is the vocabulary's times the languages', a few MB."""
     kept = [c for c in keep if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*kept, F.col(text).cast("string").alias("_text"))
+    # A text that is kept is not sent twice.
+    source = docs.select(*kept, *([] if text in kept else [F.col(text).cast("string").alias("_text")]))
+    read = text if text in kept else "_text"
+    place = source.columns.index(read)
     schema = T.StructType([source.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            names, best = shared.value.score(batch.column(len(kept)))
+        for batch in slices(batches, read):
+            names, best = shared.value.score(batch.column(place))
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + [pa.array(names, pa.string()), pa.array(best)], names=schema.names)
 
     return source.mapInArrow(run, schema)

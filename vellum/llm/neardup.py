@@ -299,4 +299,4 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, num: int
     of_node = final.join(roots, "label").select("fp", "component_id")
     grouped = sets.where(F.col("fp").isNotNull()).join(of_node, "fp").select("doc_id", "n_shingles", "component_id")
     alone = sets.where(F.col("fp").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return grouped.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return scratch.finish(grouped.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))

@@ -77,7 +77,7 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "mixing")
     sizes = scratch.save(mixing.sized(table(spark, sf_dir, "documents")), "sizes")
-    assigned = scratch.save(mixing.assign_positions(sizes), "assigned")
+    assigned = scratch.finish(mixing.assign_positions(sizes))
     first = F.get("occurrences", F.lit(0))["position"]
     ordered = assigned.repartitionByRange(first.asc_nulls_last(), "doc_id").sortWithinPartitions(first.asc_nulls_last(), "doc_id")
     return ordered.select("doc_id", "size", "source_size", "target", "taken")

@@ -361,10 +361,11 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: i
     out = rows.select("doc_id", "tk", "n_bytes").join(texts.select("tk", "text_copies"), "tk").join(done, "tk", "left")
     copied = (F.col("text_copies") > 1) & (F.col("n_bytes") >= length)
     nothing = hashlib.sha256(b"").hexdigest()
-    return out.select(
+    result = out.select(
         "doc_id",
         "n_bytes",
         F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copied, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copied, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("tk")))).alias("kept_sha256"),
     )
+    return scratch.finish(result)

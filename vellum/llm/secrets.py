@@ -173,7 +173,10 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     """
     own = ["spans", *(["masked"] if mask else [])]
     kept = [c for c in keep if c not in own]
-    source = docs.select(*kept, F.col(text).cast("string").alias("_text"))
+    # A text that is kept is not sent twice.
+    source = docs.select(*kept, *([] if text in kept else [F.col(text).cast("string").alias("_text")]))
+    read = text if text in kept else "_text"
+    place = source.columns.index(read)
     fields = [source.schema[c] for c in kept] + [T.StructField("spans", SPANS)] + ([T.StructField("masked", T.StringType())] if mask else [])
 
     shared = docs.sparkSession.sparkContext.broadcast(scanner())
@@ -181,9 +184,9 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
         kinds = [r[0] for r in s.rules]
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, read):
             spans, texts = [], []
-            for found, doc in s.scan(batch.column(len(kept))):
+            for found, doc in s.scan(batch.column(place)):
                 if not found:
                     spans.append([])
                     texts.append(None)
