@@ -27,10 +27,11 @@ class QueryError(ValueError):
 
 @dataclass
 class Query:
-    """groups: alternatives (OR), each a list of needles that must all match; a needle is a phrase of tokens."""
+    """groups: alternatives (OR), each a list of (needle, quoted) that must all match; required: needed in any case."""
 
-    groups: list[list[str]] = field(default_factory=list)
-    excluded: list[str] = field(default_factory=list)
+    groups: list[list[tuple[str, bool]]] = field(default_factory=list)
+    excluded: list[tuple[str, bool]] = field(default_factory=list)
+    required: list[tuple[str, bool]] = field(default_factory=list)
     filters: dict[str, list[str]] = field(default_factory=dict)
 
 
@@ -76,20 +77,40 @@ def parse_query(text: str) -> Query:
             negate = True
             continue
         name, colon, value = token.partition(":")
-        if colon and name.lower() in FIELDS:
-            if not value:
-                raise QueryError(f"{name}: has no value")
-            out.filters.setdefault(name.lower(), []).append(value)
+        if not quoted and colon and name.lower() in FIELDS:
+            _filter(out, name.lower(), value)
             if name.lower() in ("keyword", "term", "author"):
-                (out.excluded if negate else group).append(value)
-        elif token:
-            (out.excluded if negate else group).append(token)
+                out.required.append((value, name.lower() == "author"))
+            continue
+        if token:
+            (out.excluded if negate else group).append((token, quoted))
         negate = False
+    if negate:
+        raise QueryError("a query cannot end with NOT")
     if group:
         out.groups.append(group)
     return out
 
 
+# Relations that a filter may name.
+RELATIONS = ("normative", "informative", "in_body")
+
+
+def _filter(query: Query, name: str, value: str) -> None:
+    """Add a checked filter; rfc takes several numbers, relation is lower-cased."""
+    if not value:
+        raise QueryError(f"{name}: has no value")
+    values = value.split(",") if name == "rfc" else [value]
+    for v in values:
+        if name == "rfc" and not re.fullmatch(r"\d{1,5}", v.strip()):
+            raise QueryError(f"rfc: takes numbers, not {v!r}")
+        if name == "section" and not re.fullmatch(r"[A-Za-z0-9.]{1,20}", v):
+            raise QueryError("section: takes a section number")
+        if name == "relation" and v.lower() not in RELATIONS:
+            raise QueryError(f"relation: takes one of {', '.join(RELATIONS)}")
+        query.filters.setdefault(name, []).append(v.lower() if name == "relation" else v.strip())
+
+
 # Letters with marks (Latin) to their base letters; built by rule from the characters' decompositions.
 _MARKED = [chr(c) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1]
 _FROM, _TO = "".join(_MARKED), "".join(unicodedata.normalize("NFD", c)[0] for c in _MARKED)
@@ -114,17 +135,38 @@ def token_string(text: str | Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(tokenize(text), " "), F.lit(" "))
 
 
+def phrases(needle: str, quoted: bool) -> list[list[str]]:
+    """The phrases a needle asks for: letters, digits and spaces stand as one phrase; other quoted text falls into its parts.
+
+    A bare word with punctuation inside stays a phrase of its parts.
+    """
+    tokens = needle_tokens(needle)
+    if quoted and not re.fullmatch(r"[^\W_]+(?:\s+[^\W_]+)*", needle.strip()):
+        return [[t] for t in tokens]
+    return [tokens] if tokens else []
+
+
 def matches(query: Query, tokens: Column) -> Column:
-    """Whether a token string fits: any group with all its needles, and no excluded one."""
-    has = lambda n: F.contains(tokens, F.lit(" " + " ".join(needle_tokens(n)) + " "))
-    if not query.groups:
+    """Whether a token string fits: some group with all its needles, all that is required, and nothing excluded."""
+
+    def has(needle: tuple[str, bool]) -> Column:
+        out = F.lit(True)
+        for p in phrases(*needle):
+            out = out & F.contains(tokens, F.lit(" " + " ".join(p) + " "))
+        return out
+
+    def every(needles: list[tuple[str, bool]]) -> Column:
+        out = F.lit(True)
+        for n in needles:
+            out = out & has(n)
+        return out
+
+    if not query.groups and not query.required:
         return F.lit(False)
-    out = F.lit(False)
+    out = F.lit(not query.groups)
     for group in query.groups:
-        every = F.lit(True)
-        for needle in group:
-            every = every & has(needle)
-        out = out | every
+        out = out | every(group)
+    out = out & every(query.required)
     for needle in query.excluded:
         out = out & ~has(needle)
     return out
@@ -197,13 +239,13 @@ def search_blocks(blocks: DataFrame, sections: DataFrame, titles: DataFrame, que
     if kinds:
         rows = rows.where(F.col("kind").isin(*kinds))
     if "rfc" in q.filters:
-        rows = rows.where(F.col("rfc").isin(*[int(re.sub(r"\D", "", v)) for v in q.filters["rfc"]]))
+        rows = rows.where(F.col("rfc").isin(*[int(v) for v in q.filters["rfc"]]))
     for prefix in q.filters.get("section", []):
         rows = rows.where(section_prefix("section_number", prefix))
     if relation_blocks is not None:
         rows = rows.join(relation_blocks.select("snapshot_id", F.col("block_id").alias("id")), ["snapshot_id", "id"], "left_semi")
     hits = rows.withColumn("tokens", token_string("text")).where(matches(q, F.col("tokens")))
-    needles = [n for g in q.groups for n in g]
+    needles = [n for g in [*q.groups, q.required] for n, _ in g]
     key = F.concat_ws("|", "snapshot_id", "id")
     scores = bm25(postings(blocks.select(key.alias("k"), "text"), "k", "text"), [t for n in needles for t in needle_tokens(n)])
     text, spans = snippet("text", needles)
@@ -220,10 +262,10 @@ def search_catalog(catalog: DataFrame, query: str, limit: int = MAX_RESULTS, off
         if facet in q.filters:
             rows = rows.where(F.col(f"{facet}.slug").isin(*q.filters[facet]) | F.col(f"{facet}.name").isin(*q.filters[facet]))
     if "rfc" in q.filters:
-        rows = rows.where(F.col("rfc").isin(*[int(re.sub(r"\D", "", v)) for v in q.filters["rfc"]]))
+        rows = rows.where(F.col("rfc").isin(*[int(v) for v in q.filters["rfc"]]))
     text = F.concat_ws(" ", "title", "abstract", "keywords", F.transform("authors", lambda a: a["titlepage_name"]))
     rows = rows.withColumn("_text", text)
-    needles = [n for g in q.groups for n in g]
+    needles = [n for g in [*q.groups, q.required] for n, _ in g]
     if not needles:
         return rows.drop("_text").withColumn("score", F.lit(0.0)).orderBy("rfc").offset(offset).limit(limit)
     hits = rows.where(matches(q, token_string("_text")))
