@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +52,8 @@ SKETCH, LOSS = 64, 1e-10
 SHORT, LONG = 32, 8192
 #: Values of a full set that pairs are compared by ahead of their confirmation.
 WIDE = 256
+#: A node's rarest lists, whose heads it may be compared with first.
+VOTES = 8
 
 
 def least_shared(similarity: float, k: int = SKETCH, loss: float = LOSS) -> int:
@@ -180,7 +182,7 @@ def open_lists(listed: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFra
     return named, lists.where("x != y").select("value", "members")
 
 
-def compare(n: np.ndarray, labels: list, sketches: list[np.ndarray], k: int, num: int, den: int, block: int = 512) -> Iterator[tuple[int, int]]:
+def compare(n: np.ndarray, labels: list, sketches: list[np.ndarray], k: int, num: int, den: int, here: Callable = lambda x, y: True, block: int = 512) -> Iterator[tuple[int, int]]:
     """Pairs of a list's members with different labels that may be similar enough, by blocks of members.
 
     Sets of at most k hashes are their own sketches; pairs of these are decided here, and only
@@ -212,28 +214,34 @@ def compare(n: np.ndarray, labels: list, sketches: list[np.ndarray], k: int, num
             for x, y in zip(*np.nonzero(enough), strict=True):
                 if i + x < j + y:
                     p, q = find(int(label[i + x])), find(int(label[j + y]))
-                    if p != q:
+                    if p != q and here(i + int(x), j + int(y)):
                         if exact[x, y]:
                             root[p] = q
                         yield i + int(x), j + int(y)
 
 
 def meeting(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of (value, fp, n, label, sketch) that meet under a value and may be similar enough."""
+    """Pairs (a, b) of (value, fp, n, label, sketch, own) that meet under a value and may be similar enough.
+
+    own: the values that a node is listed under; a pair is looked at under the least that both
+    have, once. Null: under every value.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            fps, n, labels, sketches = zip(*held, strict=True)
-            pairs = [tuple(sorted((fps[x], fps[y]))) for x, y in compare(np.array(n), labels, sketches, k, num, den)]
+            fps, n, labels, own, sketches = zip(*held, strict=True)
+            own = [set(o) if o is not None else None for o in own]
+            here = lambda x, y: own[x] is None or own[y] is None or min(own[x] & own[y]) == value
+            pairs = [tuple(sorted((fps[x], fps[y]))) for x, y in compare(np.array(n), labels, sketches, k, num, den, here)]
             return pa.RecordBatch.from_arrays([pa.array([p[c] for p in pairs], pa.binary()) for c in (0, 1)], names=["a", "b"])
 
         value = None
         for batch in batches:
             sketch = batch.column(4)
             offsets, flat = np.asarray(sketch.offsets), np.asarray(sketch.values)
-            for i, (v, *row) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+            for i, (v, *row) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 5)), strict=True)):
                 if v != value and held:
                     yield flush()
                     held = []
@@ -242,7 +250,7 @@ def meeting(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
         if held:
             yield flush()
 
-    dealt = rows.select("value", "fp", "n", "label", "sketch").repartition("value").sortWithinPartitions("value")
+    dealt = rows.select("value", "fp", "n", "label", "sketch", "own").repartition("value").sortWithinPartitions("value")
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
@@ -258,10 +266,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, num: int
     of_both = F.ceil(F.col("n") * num / F.lit(den)).cast("int")
     shared = F.when(F.col("n") <= small, of_both).otherwise(F.lit(o))
     values = nodes.select("fp", "n", (F.size("sketch") - shared + 1).alias("m"), F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
-    listed = scratch.save(listing(values).select("value", "fp", "n"), "lists")
+    listed = scratch.save(listing(values).select("value", "fp", "n", "place"), "lists")
+    # At most k values a node; a pair is compared in the least list that both are in.
+    shelves = scratch.save(listed.groupBy("fp").agg(F.collect_list("value").alias("own")), "shelves")
     wanted = listed.select("fp").distinct().join(nodes, "fp").select("doc_id", "fp")
     full = scratch.save(full_sets(docs, wanted, words), "sets")
-    edges = scratch.save(confirm(stars(listed, 0), full, num, den), "stars")
+    rarest = F.row_number().over(W.partitionBy("fp").orderBy("place")) <= VOTES
+    votes = listed.withColumn("rarest", rarest).where("rarest").select("value", "fp")
+    edges = scratch.save(confirm(stars(votes, 0), full, num, den), "stars")
     labels = scratch.save(connected_components(edges, scratch), "labels")
 
     def again(rows: DataFrame, seed: int) -> None:
@@ -271,7 +283,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, num: int
         labels = scratch.save(connected_components(edges, scratch), "labels")
 
     def widely(rows: DataFrame, lists: DataFrame) -> DataFrame:
-        return rows.join(lists, "value", "left_semi").join(full.select("fp", F.slice("hashes", 1, WIDE).alias("sketch")), "fp").select("value", "fp", "n", "label", "sketch")
+        return rows.join(lists, "value", "left_semi").join(full.select("fp", F.slice("hashes", 1, WIDE).alias("sketch")), "fp").select("value", "fp", "n", "label", "sketch", "own")
 
     named, still = open_lists(listed, labels)
     again(named.join(still.where(F.col("members") > SHORT), "value", "left_semi"), 1)
@@ -285,8 +297,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, num: int
     if not deep.isEmpty():
         named, still = open_lists(deep, labels)
         again(named.join(still, "value", "left_semi"), 2)
-        wide = widely(*open_lists(deep, labels))
+        named, still = open_lists(deep, labels)
+        wide = widely(named.withColumn("own", F.lit(None).cast("array<long>")), still)
     named, still = open_lists(listed, labels)
+    named = named.join(shelves, "fp")
     middle = widely(named, still.where(F.col("members").between(SHORT + 1, LONG)))
     wide = middle if wide is None else wide.unionByName(middle)
     short = named.join(still.where(F.col("members") <= SHORT), "value", "left_semi").join(nodes.select("fp", "sketch"), "fp")
