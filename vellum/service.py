@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import scalars
 from vellum.operators import citations, diffs, normative, references, search
+from vellum.operators.references import MAX_EDGES
 from vellum.operators.structure import clean_rendering
 from vellum.plans.store import Store
 
@@ -238,7 +239,7 @@ class Service:
             rows = rows.join(self.catalog.select(F.col("rfc").cast("int").alias("target_rfc"), F.col("title").alias("target_title")), "target_rfc", "left")
         return rows.orderBy("ordinal", "id").limit(PAGE["page"])
 
-    def dependencies(self, rfc, direction: str = "outgoing", max_edges: int = references.MAX_EDGES) -> DataFrame:
+    def dependencies(self, rfc, direction: str = "outgoing", max_edges: int = MAX_EDGES) -> DataFrame:
         """Typed edges of one document, of depth 1 whatever depth is asked for."""
         one_of("outgoing", "incoming", "both")(direction)
         n = selector(rfc)
