@@ -54,6 +54,8 @@ SHORT, LONG = 32, 8192
 WIDE = 256
 #: A node's rarest lists, whose heads it may be compared with first.
 VOTES = 8
+#: Columns of an incidence matrix in the comparison of a block of nodes; it bounds its memory.
+VALUES = 4096
 
 
 def least_shared(similarity: float, k: int = SKETCH, loss: float = LOSS) -> int:
@@ -204,9 +206,16 @@ def compare(n: np.ndarray, labels: list, sketches: list[np.ndarray], k: int, num
             rows = np.repeat(np.arange(len(left) + len(right)), [len(sketches[x]) for x in (*left, *right)])
             often = np.bincount(codes, minlength=len(values)) > 1
             codes, rows = (np.cumsum(often) - 1)[codes][often[codes]], rows[often[codes]]
-            held = np.zeros((len(left) + len(right), int(often.sum())), np.float32)
-            held[rows, codes] = 1
-            shared = (held[: len(left)] @ held[len(left) :].T).astype(np.int64)
+            shared = np.zeros((len(left), len(right)), np.float32)
+            order = np.argsort(codes, kind="stable")
+            codes, rows = codes[order], rows[order]
+            # Counts of shared values as products of incidence matrices, so many values at a time.
+            for low in range(0, int(often.sum()), VALUES):
+                part = slice(*np.searchsorted(codes, (low, low + VALUES)))
+                held = np.zeros((len(left) + len(right), VALUES), np.float32)
+                held[rows[part], codes[part] - low] = 1
+                shared += held[: len(left)] @ held[len(left) :].T
+            shared = shared.astype(np.int64)
             na, nb = n[i : i + len(left), None], n[None, j : j + len(right)]
             exact = np.maximum(na, nb) <= k
             enough = np.where(exact, shared * (num + den) >= (na + nb) * num, shared >= np.minimum(-(-np.minimum(na, nb) * num // den), wanted))
