@@ -318,6 +318,167 @@ def verify_stable_across_versions(spark: SparkSession, sf_dir: str) -> DataFrame
     return citations.verify_stable(own, later["blocks"], later["sections"]).groupBy("status").agg(F.count("*").alias("n"))
 
 
+# --- Store rules, search facets, evaluation and aggregates.
+
+
+@query("catalog_upsert", """
+WITH a AS (SELECT c_custkey AS rfc, md5(c_name) AS content_hash, c_mktsegment AS v FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT c_custkey AS rfc, CASE WHEN c_custkey % 2 = 0 THEN md5(c_name) ELSE md5(c_name || 'x') END AS content_hash, 'new' AS v FROM customer WHERE c_custkey % 5 <> 0)
+SELECT coalesce(a.rfc, b.rfc) AS rfc, CASE WHEN a.rfc IS NULL OR a.content_hash <> b.content_hash THEN b.v ELSE a.v END AS v FROM a FULL JOIN b ON a.rfc = b.rfc""")
+def catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.plans import store
+
+    c = table(spark, sf_dir, "customer")
+    a = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("rfc"), F.md5("c_name").alias("content_hash"), F.col("c_mktsegment").alias("v"))
+    other = F.when(F.col("c_custkey") % 2 == 0, F.md5("c_name")).otherwise(F.md5(F.concat("c_name", F.lit("x"))))
+    b = c.where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("rfc"), other.alias("content_hash"), F.lit("new").alias("v"))
+    return store.upsert(a, b, "rfc", "content_hash")[0].select("rfc", "v")
+
+
+@query("replace_by_document", "SELECT o_orderkey, o_custkey AS rfc, 'old' AS v FROM orders WHERE o_custkey % 7 <> 0 UNION ALL SELECT o_orderkey, o_custkey, 'new' FROM orders WHERE o_custkey % 7 = 0")
+def replace_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.plans import store
+
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("rfc"))
+    return store.replace_by(o.withColumn("v", F.lit("old")), o.where("rfc % 7 = 0").withColumn("v", F.lit("new")))
+
+
+@query("failure_ring", "SELECT event_id AS id, left(props, 500) AS message FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 50")
+def failure_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.plans import store
+
+    e = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("event_id").alias("id"), F.col("ts").alias("at"), F.col("props").alias("message"))
+    return store.failures(e.limit(0), e).select("id", "message")
+
+
+@query("asset_latest", "SELECT p_brand, p_type, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey DESC) AS n FROM part) WHERE n = 1")
+def asset_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.plans import store
+
+    return store.latest(table(spark, sf_dir, "part").select("p_brand", "p_type", "p_partkey"), ["p_brand", "p_type"], "p_partkey")
+
+
+@query("search_boolean", r"""
+WITH t AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+'), ' ') || ' ' AS s FROM documents)
+SELECT doc_id FROM t WHERE ((contains(s, ' le ') AND contains(s, ' est ')) OR contains(s, ' die ')) AND NOT contains(s, ' und der ')""")
+def search_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = search.parse_query('le AND est OR die NOT "und der"')
+    return table(spark, sf_dir, "documents").where(search.matches(q, search.token_string("text"))).select("doc_id")
+
+
+@query("candidate_histograms", f"""WITH {LINES}, c AS (SELECT 'may' AS kw, 'lower' AS kc, 'demand' AS sh, NULL AS re FROM lines WHERE template = 4 UNION ALL SELECT 'must', 'upper', 'description', 'non_prose_block' FROM lines WHERE rf = 'R')
+SELECT 'keyword' AS axis, kw AS value, count(*) AS n FROM c GROUP BY 2 UNION ALL SELECT 'keyword_case', kc, count(*) FROM c GROUP BY 2 UNION ALL SELECT 'reason', re, count(*) FROM c WHERE re IS NOT NULL GROUP BY 2""")
+def candidate_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = rendered.corpus(spark, sf_dir)
+    rows = normative.candidates(c["blocks"], c["sections"])
+    out = None
+    for axis in ("keyword", "keyword_case", "reason"):
+        part = normative.histogram(rows, axis).groupBy(F.lit(axis).alias("axis"), "value").agg(F.sum("count").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("declarative_exclusions", f"WITH {LINES} SELECT 'has_keyword' AS excluded, count(*) AS n FROM lines WHERE template IN (0, 1, 2, 3, 4, 7)")
+def declarative_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = rendered.corpus(spark, sf_dir)
+    return normative.declaratives(c["blocks"], c["sections"]).where("excluded = 'has_keyword'").groupBy("excluded").agg(F.count("*").alias("n"))
+
+
+@query("snapshot_identity", f"WITH {LINES} SELECT count(DISTINCT o) AS documents, count(DISTINCT o) AS ids, 0::BIGINT AS broken FROM lines")
+def snapshot_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = rendered.corpus(spark, sf_dir)["snapshots"]
+    again = scalars.snapshot_id("rfc", "raw", F.lit("meta"), structure.PARSER_VERSION, normative.EXTRACTOR_VERSION)
+    return s.agg(F.count("*").alias("documents"), F.countDistinct("id").alias("ids"), F.count_if((again != F.col("id")) | (F.sha2("raw", 256) != F.col("raw_sha256"))).alias("broken"))
+
+
+@query("retired_and_fresh", f"WITH {LINES}, d AS (SELECT o, bool_or(template = 0) OR bool_or(n = 2) AS changed FROM lines GROUP BY o) SELECT changed AS fresh, count(*) AS n FROM d GROUP BY 1")
+def retired_and_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.plans import store
+
+    old, new = rendered.corpus(spark, sf_dir)["snapshots"], rendered.corpus(spark, sf_dir, 2)["snapshots"]
+    incoming = new.select("rfc", F.col("id").alias("snapshot_id"))
+    fresh = store.fresh(incoming, old).select("rfc", F.lit(True).alias("fresh"))
+    return incoming.join(fresh, "rfc", "left").groupBy(F.coalesce("fresh", F.lit(False)).alias("fresh")).agg(F.count("*").alias("n"))
+
+
+@query("diff_verdicts", f"WITH {LINES}, d AS (SELECT o, bool_or(template = 0) AS changed FROM lines GROUP BY o) SELECT CASE WHEN changed THEN 'differences' ELSE 'no_differences' END AS verdict, count(*) AS n FROM d GROUP BY 1")
+def diff_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sides = []
+    for version in (1, 2):
+        c = rendered.corpus(spark, sf_dir, version)
+        sides.append(normative.requirements(normative.mentions(c["blocks"], c["sections"])).withColumn("pair_id", F.col("rfc")))
+    changes = diffs.capped(diffs.requirements(*sides))
+    pairs = rendered.corpus(spark, sf_dir)["snapshots"].select(F.col("rfc").alias("pair_id"))
+    return diffs.verdict(pairs, changes, F.lit(True)).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query("graph_reachable", """
+WITH RECURSIVE e AS (SELECT 'doc:' || n_nationkey AS a, 'doc:' || (n_nationkey + 3) AS b FROM nation), w AS (SELECT a AS root, a AS node, 0 AS depth FROM e UNION ALL SELECT root, b, depth + 1 FROM w JOIN e ON w.node = e.a WHERE depth < 3)
+SELECT root, node, min(depth) AS depth FROM w GROUP BY 1, 2""")
+def graph_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    node = lambda k: F.concat(F.lit("doc:"), k.cast("string"))
+    e = table(spark, sf_dir, "nation").select(node(F.col("n_nationkey")).alias("source"), node(F.col("n_nationkey") + 3).alias("destination"))
+    return references.reachable(e, e.select(F.col("source").alias("node")), 3)
+
+
+@query("stratified_sample", """
+WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE source IS NOT NULL)
+SELECT source, doc_id FROM r WHERE i IN (floor(0.5 * n), floor(0.25 * n), floor(0.75 * n), floor(0.125 * n), floor(0.875 * n), floor(0.375 * n), floor(0.625 * n))""")
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.operators import evaluation
+
+    return evaluation.stratified(table(spark, sf_dir, "documents").where("source IS NOT NULL").select("source", "doc_id"), "source", "doc_id")
+
+
+@query("conservation_reach", f"""WITH {LINES}, {STATED} SELECT CASE WHEN template IN (0, 1, 2, 3, 7) THEN 'requirement' WHEN template = 4 THEN 'candidate' WHEN template = 5 THEN 'declarative' ELSE 'unreached' END AS channel, count(*) AS n FROM lines GROUP BY 1""")
+def conservation_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.operators import evaluation
+
+    c = rendered.corpus(spark, sf_dir)
+    key = lambda s: F.concat_ws("/", F.col("rfc").cast("string"), F.col(s))
+    lines = rendered.line_table(spark, sf_dir)
+    said = lines.select(F.concat_ws("/", F.col("o").cast("string"), F.col("n").cast("string")).alias("id"), rendered.sentence().alias("text")).withColumn("section", F.col("id"))
+    number = c["sections"].select("snapshot_id", F.col("id").alias("section_id"), "number")
+    stated = lambda df: df.join(number, ["snapshot_id", "section_id"]).select(key("number").alias("section"), F.col("exact_text").alias("text"))
+    channels = {
+        "requirement": stated(normative.requirements(normative.mentions(c["blocks"], c["sections"]))),
+        "candidate": stated(normative.candidates(c["blocks"], c["sections"]).where("reason IS NULL")),
+        "declarative": stated(normative.declaratives(c["blocks"], c["sections"]).where("basis IS NOT NULL")),
+    }
+    return evaluation.conservation(said, channels).groupBy("channel").agg(F.count("*").alias("n"))
+
+
+@query("match_sweep", """
+WITH b AS (SELECT item_id, trim(regexp_replace(text, '[ \\t\\n\\r\\x0b\\x0c]+', ' ', 'g')) AS t FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\x0b\\x0c]+', ' ', 'g')) AS t FROM documents),
+m AS (SELECT length(d.t)::DOUBLE / length(b.t) AS ratio FROM b JOIN d ON contains(d.t, b.t)), s AS (SELECT unnest([1.0::DOUBLE, 1.25, 1.5, 2.0, 'infinity'::DOUBLE]) AS bound)
+SELECT bound, count(*) FILTER (ratio <= bound) AS matched FROM m, s GROUP BY 1""")
+def match_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.operators import evaluation
+
+    return evaluation.sweep(bounded_match(spark, sf_dir))
+
+
+@query("sentence_rows", None)
+def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normative.sentences(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "sentence_no", "sentence", "sentence_start")
+
+
+@query("xml_outlines", None)
+def xml_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.operators import outline
+
+    s = rendered.corpus(spark, sf_dir)["sections"]
+    one = F.concat(F.lit("<section pn='section-"), F.regexp_replace("number", r"\W+", ""), F.lit("'><name>"), F.col("title"), F.lit("</name><t>"), F.regexp_replace("text", "[<>&]", " "), F.lit("</t></section>"))
+    per = s.groupBy("rfc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", one.alias("x")))), lambda v: v["x"]), "").alias("x"))
+    return outline.outline(per.select("rfc", F.encode(F.concat(F.lit("<rfc><middle>"), F.col("x"), F.lit("</middle></rfc>")), "UTF-8").alias("raw")))
+
+
+@query("bounded_lcs", None)
+def bounded_lcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    pairs = d.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("before"), F.regexp_replace("text", "th", "TH").alias("after"))
+    return diffs.text(pairs)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions_by_term(spark, sf_dir)
 

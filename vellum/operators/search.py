@@ -185,12 +185,12 @@ def statistics(postings_rows: DataFrame) -> DataFrame:
 
 def bm25(postings_rows: DataFrame, tokens: list[str], stats: DataFrame | None = None) -> DataFrame:
     """(key, score) over the query's tokens."""
-    stats = statistics(postings_rows) if stats is None else stats
+    n_docs, mean_length = (statistics(postings_rows) if stats is None else stats).select("n_docs", "mean_length").first()
     own = postings_rows.where(F.col("token").isin(*tokens)) if tokens else postings_rows.limit(0)
     df = own.groupBy("token").agg(F.count("*").alias("df"))
-    rows = own.join(F.broadcast(df), "token").crossJoin(F.broadcast(stats))  # one row of statistics; one row a query token
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+    rows = own.join(F.broadcast(df), "token")  # a row for each of the query's tokens, MAX_TOKENS at most
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean_length or 1.0)))
     return rows.groupBy("key").agg(F.sum(idf * tf).alias("score"))
 
 

@@ -146,8 +146,9 @@ class Service:
             raise ServiceError("NOT_FOUND", "no catalog")
         rows = self.catalog.where(F.col("rfc") == selector(rfc))
         titles = self.catalog.select(F.col("rfc").alias("other"), F.col("title").alias("other_title"))
-        named = rows.select(F.explode(F.concat("obsoletes", "updates", "obsoleted_by", "updated_by")).alias("other")).distinct().join(titles, "other", "left")
-        return rows.crossJoin(named.agg(F.map_from_entries(F.collect_list(F.struct("other", F.coalesce("other_title", F.concat(F.lit("RFC "), F.col("other").cast("string")))))).alias("titles")))  # one row each
+        named = rows.select("rfc", F.explode(F.concat("obsoletes", "updates", "obsoleted_by", "updated_by")).alias("other")).distinct().join(titles, "other", "left")
+        title = F.coalesce("other_title", F.concat(F.lit("RFC "), F.col("other").cast("string")))
+        return rows.join(named.groupBy("rfc").agg(F.map_from_entries(F.collect_list(F.struct("other", title))).alias("titles")), "rfc", "left")
 
     def read(self, rfc, target: str = "outline", section: str | None = None, max_bytes: int | None = None, clean: bool = False) -> DataFrame:
         """outline: sections without text; section: one section's text (the first of its number); blocks and raw_slice: bytes of it."""
@@ -161,10 +162,10 @@ class Service:
         if target == "section":
             text = clean_rendering(F.col("text"), F.transform("furniture_lines", lambda n: (n - F.col("line_start") + 1).cast("int"))) if clean else F.col("text")
             return rows.select("id", "number", "title", scalars.truncate_bytes(F.encode(text, "UTF-8"), limit).alias("text"), (F.octet_length(text) > limit).alias("truncated"), "byte_start", "byte_end")
-        span = rows.agg(F.min("byte_start").alias("a"), F.max("byte_end").alias("b"))
+        low, high = rows.agg(F.min("byte_start"), F.max("byte_end")).first()
         raw = self.table("snapshots").where(F.col("id") == self.snapshot(rfc)[1])
-        piece = F.substr("raw", F.col("a") + 1, F.least(F.col("b") - F.col("a"), F.lit(limit)))
-        return raw.crossJoin(span).select("rfc", F.col("a").alias("byte_start"), piece.alias("raw"), scalars.truncate_bytes(piece, limit).alias("text"))  # one row each
+        piece = F.substring("raw", (low or 0) + 1, min((high or 0) - (low or 0), limit))
+        return raw.select("rfc", F.lit(low or 0).alias("byte_start"), piece.alias("raw"), scalars.truncate_bytes(piece, limit).alias("text"))
 
     def search(self, query: str, scope: str = "auto", max_results: int = 20, page: str | None = None, block_kinds: list[str] | None = None) -> DataFrame:
         if not 2 <= len(query) <= search.MAX_LENGTH:
@@ -252,8 +253,8 @@ class Service:
         one_of("structure", "text", "requirements", "metadata", "references")(mode)
         pair = lambda name, rfc: self.own(name, rfc).withColumn("pair_id", F.lit(0).cast("long"))
         if mode == "text":
-            a, b = (self.table("snapshots").where(F.col("id") == self.snapshot(r)[1]).select(F.decode("raw", "UTF-8").alias(n)) for r, n in ((left, "before"), (right, "after")))
-            return diffs.text(a.crossJoin(b).withColumn("pair_id", F.lit(0)))  # one row each
+            a, b = (self.table("snapshots").where(F.col("id") == self.snapshot(r)[1]).select(F.lit(0).cast("long").alias("pair_id"), F.decode("raw", "UTF-8").alias(n)) for r, n in ((left, "before"), (right, "after")))
+            return diffs.text(a.join(b, "pair_id"))
         if mode == "metadata":
             rows = [self.catalog.where(F.col("rfc") == selector(r)).withColumn("pair_id", F.lit(0).cast("long")) for r in (left, right)]
             return diffs.capped(diffs.metadata(*rows, [c for c in self.catalog.columns if c not in ("rfc", "document_id", "observed_at", "content_hash")]), max_changes)
