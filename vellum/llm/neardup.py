@@ -11,9 +11,9 @@ documents that are made of such values.
 Lists are searched in steps, without listing the pairs of a group:
 1. Each node is compared with one representative of its lists, the one it shares most lists
    with. Links found here join copies of one text, however many there are, in linear time.
-2. Lists that are not short and still hold several components try another representative;
-   nodes of very long ones are listed anew under the rarest shingles of their full sets (the
-   same prefix filter, exact there).
+2. Nodes of very long lists that still hold several components are listed anew under the
+   rarest shingles of their full sets (the same prefix filter, exact there) and compared with
+   a representative again.
 3. Within lists that still hold several components, nodes of different components are compared
    by the sketch of their union. Nodes already connected need no comparison: it could not
    change the components.
@@ -47,8 +47,8 @@ from vellum.plans.runtime import Scratch
 
 #: Retained values a sketch, and the chance of losing a link that `least_shared` allows.
 SKETCH, LOSS = 64, 1e-10
-#: Lists of up to SHORT nodes are compared by sketches; of up to LONG by wide ones, after another
-#: round of representatives; the nodes of longer ones are listed anew by their full sets first.
+#: Lists of up to SHORT nodes are compared by sketches, of up to LONG by wide ones; the nodes of
+#: longer ones are listed anew by their full sets first.
 SHORT, LONG = 32, 8192
 #: Values of a full set that pairs are compared by ahead of their confirmation.
 WIDE = 256
@@ -294,8 +294,6 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, num: int
     def widely(rows: DataFrame, lists: DataFrame) -> DataFrame:
         return rows.join(lists, "value", "left_semi").join(full.select("fp", F.slice("hashes", 1, WIDE).alias("sketch")), "fp").select("value", "fp", "n", "label", "sketch", "own")
 
-    named, still = open_lists(listed, labels)
-    again(named.join(still.where(F.col("members") > SHORT), "value", "left_semi"), 1)
     # Nodes of long lists that are still open are listed under their full sets' rarest shingles:
     # an exact filter, and one that shared lines and passages hardly pass.
     named, still = open_lists(listed, labels)
@@ -305,7 +303,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, num: int
     wide = None
     if not deep.isEmpty():
         named, still = open_lists(deep, labels)
-        again(named.join(still, "value", "left_semi"), 2)
+        again(named.join(still, "value", "left_semi"), 1)
         named, still = open_lists(deep, labels)
         wide = widely(named.withColumn("own", F.lit(None).cast("array<long>")), still)
     named, still = open_lists(listed, labels)
