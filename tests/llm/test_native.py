@@ -95,3 +95,24 @@ def test_license_rules_and_suppression(spark):
     kept = licenses.scan(frame(spark, [(1, "the mozilla public license 2.0")])).first().kept
     assert [k.label for k in kept] == ["mpl-2.0"]
     assert licenses.scan(frame(spark, [])).count() == 0
+
+
+def test_coarse_gate_lets_every_rule_through():
+    gate = licenses.coarse_gate()
+    samples = {
+        "gnu gpl 3": "gpl-3",
+        "apache 2 0": "apache",
+        "cc by nc sa 4 0": "cc-by-nc-sa-4.0",
+        "mozilla public license 2 0": "mpl-2.0",
+        "redistribution and use in source and binary forms with or without modification": "bsd",
+        "all rights reserved": "proprietary",
+        "freebsd": "bsd-2-clause",
+        "simplified bsd": "bsd-2-clause",
+        "mit x11": "x11",
+        "licensed under the psf license": "python",
+        "creativeml open rail m license": "openrail",
+        "wtfpl": "wtfpl",
+    }
+    for text, label in samples.items():
+        assert any(re.search(regex, f" {text} ") and keyword in f" {text} " for _, la, keyword, regex, _ in licenses.rules() if la == label), text
+        assert any(g in f" {text} " for g in gate), text

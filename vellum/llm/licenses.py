@@ -2,7 +2,7 @@
 
 Rules are regular expressions over the canonical text: A-Z lower-cased, words joined by single
 spaces, one space at either end. A rule runs only where its keyword occurs (a substring test on
-the canonical text, after one test for any keyword at all). Detections are word intervals; one
+the canonical text, after a test for a few words of which one must be there). Detections are word intervals; one
 is suppressed where a detection of a better (smaller) priority contains its interval, or one of
 equal priority that is strictly longer, or equally long and earlier in the rules.
 
@@ -16,6 +16,7 @@ columns are ignored, so their names cannot clash.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -48,19 +49,20 @@ FAMILIES = (
     ("osl", "open software", ("open software license",), ("1 0", "2 0", "2 1", "3 0")),
     ("afl", "academic free", ("academic free license",), ("1 2", "2 0", "2 1", "3 0")),
     ("artistic", "artistic", ("artistic license", "perl artistic license"), ("1 0", "2 0")),
-    ("boost", "boost", ("boost software license",), ("1 0",)),
+    ("boost", "boost software", ("boost software license",), ("1 0",)),
     ("zpl", "zope", ("zope public license",), ("1 1", "2 0", "2 1")),
-    ("python", "python", ("python software foundation license", "psf license", "python license"), ("2", "2 0")),
-    ("php", "php", ("php license",), ("3 0", "3 01")),
+    ("python", "python", ("python software foundation license", "python license"), ("2", "2 0")),
+    ("python", "psf", ("psf license",), ("2", "2 0")),
+    ("php", "php license", ("php license",), ("3 0", "3 01")),
     ("odbl", "open database", ("open database license", "odc open database license"), ("1 0",)),
     ("odc-by", "open data", ("open data commons attribution license",), ("1 0",)),
     ("ofl", "open font", ("sil open font license", "open font license"), ("1 0", "1 1")),
-    ("cc-by", "cc", ("cc by",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-sa", "cc", ("cc by sa",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc", "cc", ("cc by nc",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nd", "cc", ("cc by nd",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc-sa", "cc", ("cc by nc sa",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc-nd", "cc", ("cc by nc nd",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    ("cc-by", "cc by", ("cc by",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-sa", "cc by", ("cc by sa",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc", "cc by", ("cc by nc",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nd", "cc by", ("cc by nd",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc-sa", "cc by", ("cc by nc sa",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc-nd", "cc by", ("cc by nc nd",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
     ("cc-by", "creative commons", ("creative commons attribution",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
     ("cc-by-sa", "creative commons", ("creative commons attribution share ?alike",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
     ("cc-by-nc", "creative commons", ("creative commons attribution non ?commercial",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
@@ -70,15 +72,16 @@ FAMILIES = (
 )
 # Single signatures as (label, keyword, regular expression, priority).
 NOTICES = (
-    ("mit", "mit", "mit license", 3),
-    ("mit", "mit", "(?:the )?mit licen[cs]e mit", 2),
-    ("mit", "mit", "expat mit license|mit expat license", 2),
+    ("mit", "mit licen", "mit license", 3),
+    ("mit", "mit licen", "(?:the )?mit licen[cs]e mit", 2),
+    ("mit", "expat", "expat mit license|mit expat license", 2),
     ("mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy", 1),
     ("mit", "the above copyright notice", "the above copyright notice and this permission notice shall be included in all copies", 1),
-    ("isc", "isc", "isc licen[cs]e", 3),
+    ("isc", "isc licen", "isc licen[cs]e", 3),
     ("isc", "permission to use", "permission to use copy modify and or distribute this software", 1),
     ("bsd", "bsd", "bsd (?:style )?licen[cs]e", 3),
-    ("bsd-2-clause", "bsd", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd)(?: licen[cs]e)?", 2),
+    ("bsd-2-clause", "bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd)(?: licen[cs]e)?", 2),
+    ("bsd-2-clause", "freebsd", "freebsd(?: licen[cs]e)?", 2),
     ("bsd-3-clause", "bsd", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd)(?: licen[cs]e)?", 2),
     ("bsd-4-clause", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)(?: licen[cs]e)?", 2),
     ("0bsd", "0bsd", "0bsd|zero clause bsd", 2),
@@ -98,18 +101,19 @@ NOTICES = (
     ("apache", "apache", "apache 2(?: 0)?", 4),
     ("gpl", "gnu", "gnu general public licen[cs]e as published by the free software foundation", 1),
     ("lgpl", "gnu", "gnu lesser general public licen[cs]e as published by the free software foundation", 1),
-    ("cc-by", "cc", "cc by", 5),
+    ("cc-by", "cc by", "cc by", 5),
     ("cc", "creative commons", "creative commons(?: licen[cs]e)?", 6),
     ("ms-pl", "microsoft", "microsoft public license", 3),
     ("ms-rl", "microsoft", "microsoft reciprocal license", 3),
     ("openssl", "openssl", "openssl license", 3),
-    ("ruby", "ruby", "ruby license", 3),
-    ("vim", "vim", "vim license", 3),
+    ("ruby", "ruby license", "ruby license", 3),
+    ("vim", "vim license", "vim license", 3),
     ("x11", "x11", "x11 license|mit x11", 3),
     ("postgresql", "postgresql", "postgresql licen[cs]e", 3),
     ("json", "good not evil", "the software shall be used for good not evil", 1),
     ("llama", "community license", "llama(?: [0-9])* community license", 3),
-    ("openrail", "openrail", "(?:bigscience |creativeml )?open ?rail(?: m)?(?: license)?", 3),
+    ("openrail", "openrail", "(?:bigscience |creativeml )?openrail(?: m)?(?: license)?", 3),
+    ("openrail", "open rail", "(?:bigscience |creativeml )?open rail(?: m)?(?: license)?", 3),
 )
 
 
@@ -126,7 +130,22 @@ def rules() -> list[tuple[int, str, str, str, int]]:
                     out.append((f"{label}-{version.replace(' ', '.')}-or-later", keyword, f"{only} (?:0 )?(?:or (?:any |at your option any )?later(?: version)?|plus)", 2))
             out.append((label, keyword, f"(?:licensed|distributed|released|available) under (?:the )?(?:terms of )?(?:the )?{name}", 2 if label not in ("cc-by",) else 4))
     out += list(NOTICES)
-    return [(i, label, keyword, rf"(?<= )(?:{regex})(?= )", priority) for i, (label, keyword, regex, priority) in enumerate(out)]
+    # A keyword is looked for at the start of a word.
+    return [(i, label, f" {keyword}", rf"(?<= )(?:{regex})(?= )", priority) for i, (label, keyword, regex, priority) in enumerate(out)]
+
+
+def coarse_gate() -> list[str]:
+    """A few words of which each text that holds any keyword and could match a rule holds one.
+
+    A rule that always asks for a licence needs `licen`; others keep their keyword, unless it
+    holds another one of these.
+    """
+    out = set()
+    for _, _, keyword, regex, _ in rules():
+        whole = re.fullmatch(r"\(\?<= \)\(\?:(.*)\)\(\?= \)", regex)[1]
+        needed = re.sub(r"\(\?:[^()]*\)\??", "", whole)  # what no group holds
+        out.add("licen" if all("licen" in part for part in needed.split("|")) else keyword)
+    return sorted(k for k in out if not any(other != k and other in k for other in out))
 
 
 def _spaces(c: Column) -> Column:
@@ -158,7 +177,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     """keep, n_words, base (intervals by phrase), kept (detections left after suppression)."""
     table = rules()
     rows = F.array(*[F.struct(F.lit(o).alias("order"), F.lit(la).alias("label"), F.lit(k).alias("keyword"), F.lit(r).alias("regex"), F.lit(p).alias("priority")) for o, la, k, r, p in table])
-    words = sorted({k for _, _, k, _, _ in table})
+    words = coarse_gate()
     out = docs.select(*keep, canonical(F.col(text)).alias("_canon"))
     n_words = F.when(F.col("_canon") == " ", F.lit(0)).otherwise(_spaces(F.col("_canon")) - 1)
     base_type = "array<struct<label:string,start:int,stop:int>>"
