@@ -6,7 +6,7 @@ pass over the word's end positions gives that sum without listing the cuts. A te
 the sum of its words' log-probabilities plus the log of the language's share in training.
 
 Training is expectation maximisation on word counts of a bounded sample of labelled documents
-(`max_docs` a language, chosen by a hash of doc_id): forward and backward passes give each
+(about `max_docs` a language, chosen by a hash of doc_id): forward and backward passes give each
 piece's expected count. The vocabulary itself is taken as it is.
 
 Cases: a text that is null or has no letters is `und` with score 0; texts of any length are
@@ -27,7 +27,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from vellum.llm.secrets import slices
 
@@ -219,12 +218,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, vocabulary: str = VOCABULARY, max_docs: int = MAX_DOCS) -> Model:
-    """A model from the labelled documents that are not held out; the sample is at most max_docs a language."""
-    by_hash = W.partitionBy("lang").orderBy(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "doc_id")
-    sample = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("lang").cast("string").alias("lang"))
-    shares = sample.groupBy("lang").count()
-    sample = sample.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= max_docs).select("doc_id", "lang").distinct()
-    texts = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").join(F.broadcast(sample), ["doc_id", "lang"], "left_semi")
+    """A model from the labelled documents that are not held out; the sample is of about max_docs a language."""
+    trained = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    n = {r["lang"]: r["count"] for r in trained.groupBy("lang").count().collect()}
+    # A document is in the sample if its hash, as a fraction, is below its language's share.
+    fraction = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / 2.0**32
+    share = F.create_map(*[F.lit(x) for lang, c in n.items() for x in (lang, min(1.0, max_docs / c))]) if n else F.create_map(F.lit(""), F.lit(0.0))
+    texts = trained.where(fraction < F.try_element_at(share, F.col("lang")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -236,7 +236,6 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, max_docs: int = MAX_DOC
     counted = texts.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     table = counted.toArrow()
     trie = Trie(read_pieces(vocabulary))
-    n = {r["lang"]: r["count"] for r in shares.collect()}
     langs = np.asarray(table["lang"].to_pylist() or [], object)
     languages, columns = sorted(set(langs.tolist())), []
     for lang in languages:
