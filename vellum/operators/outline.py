@@ -150,8 +150,14 @@ def outline(docs: DataFrame) -> DataFrame:
         return [{"rfc": rfc, "ordinal": i, **r} for i, r in enumerate(found)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
         for batch in batches:
             for rfc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_pylist(one(rfc, raw), schema=arrow)
+                out += one(rfc, raw)
+                if len(out) >= 1024:
+                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     return docs.select(F.col("rfc").cast("long"), F.col("raw").cast("binary")).mapInArrow(run, OUTLINE)

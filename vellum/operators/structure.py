@@ -26,6 +26,8 @@ from vellum.functions.scalars import js_trim
 from vellum.functions.sentences import fixed_space
 
 PARSER_VERSION = "1.8.0"
+#: Parsed documents go out in batches of so many bytes of source or documents.
+OUT_BYTES, OUT_ROWS = 2 << 20, 256
 FURNITURE = [re.compile(p) for p in fixed.FURNITURE]
 FORM_FEED = re.compile(r"^\f+\s*$")
 
@@ -437,10 +439,17 @@ def parse_documents(docs: DataFrame) -> DataFrame:
     arrow = to_arrow_schema(PARSED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
             for rfc, snapshot, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 sections, blocks, quality = parse(rfc, snapshot, raw or b"")
-                yield pa.RecordBatch.from_pylist([{"rfc": rfc, "snapshot_id": snapshot, **quality, "sections": sections, "blocks": blocks}], schema=arrow)
+                rows.append({"rfc": rfc, "snapshot_id": snapshot, **quality, "sections": sections, "blocks": blocks})
+                size += len(raw or b"")
+                if size > OUT_BYTES or len(rows) >= OUT_ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return docs.select(F.col("rfc").cast("long"), "snapshot_id", F.col("raw").cast("binary")).mapInArrow(run, PARSED)
 
