@@ -46,7 +46,7 @@ from vellum.plans.runtime import Scratch
 
 LENGTH, K = 400, 32
 #: Windows whose minimizers are searched at a time, and segments in one construction.
-CHUNK, BATCH = 1 << 20, 16384
+CHUNK, BATCH = 1 << 20, 8192
 #: An odd multiplier of rolling hashes modulo 2**64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -190,13 +190,11 @@ def segments(candidates: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
 def columns(segs: list[bytes], offs: np.ndarray) -> np.ndarray:
     """[column, segment] symbols (byte + 1, 0 where the segment has none), minimizers in one column."""
     left, right = int(offs.max()), max(len(s) - int(o) for s, o in zip(segs, offs, strict=True))
-    sizes = np.array([len(s) for s in segs])
-    flat = np.frombuffer(b"".join(segs), np.uint8).astype(np.uint16) + 1
-    out = np.zeros((left + right, len(segs)), np.uint16)
-    owner = np.repeat(np.arange(len(segs)), sizes)
-    within = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out[within + np.repeat(left - offs, sizes), owner] = flat
-    return out
+    out = np.zeros((len(segs), left + right), np.uint16)
+    for i, (s, o) in enumerate(zip(segs, offs.tolist(), strict=True)):
+        out[i, left - o : left - o + len(s)] = np.frombuffer(s, np.uint8)
+        out[i, left - o : left - o + len(s)] += 1
+    return np.ascontiguousarray(out.T)
 
 
 def construct(symbols: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
