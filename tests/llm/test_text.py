@@ -125,6 +125,21 @@ def test_decontamination(spark):
     assert decontaminate.contamination(frame(spark, docs), bench.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_edited_copies_beside_a_verbatim_one_are_aligned(spark):
+    rnd = random.Random(12)
+    vocab = [f"w{i}" for i in range(400)]
+    item = [rnd.choice(vocab) for _ in range(40)]
+    filler = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+    edited = " ".join("changed" if k % 5 == 4 else w for k, w in enumerate(item))
+    docs = [(0, " ".join(item)), *[(i, f"{filler(20)} {edited} {filler(20)}") for i in range(1, 13)], *[(i, edited) for i in range(13, 25)]]
+    # A passage whose one seed is the commonest of all is aligned too.
+    docs.append((25, f"{filler(20)} {' '.join(item[:4])} {filler(20)}"))
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contamination(frame(spark, docs), bench, Scratch(spark, "t")).collect()}
+    assert got.keys() == set(range(26)) and {i for i, r in got.items() if r.contaminated} == set(range(25))
+    assert got[0].score == 1.0 and all(got[i].score >= (2 * 32 - 7) / 80 for i in range(1, 25))
+
+
 def test_slices_keep_rows():
     batch = pa.RecordBatch.from_pydict({"t": pa.array(["a" * 10, None, "b" * 100, "", "c" * 5])})
     parts = list(secrets.slices(iter([batch]), "t", 12))

@@ -1,14 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
 Every word n-gram of a benchmark item is a seed. One pass over the documents finds the places
 where seeds may occur: a bitmap of fixed size over the seeds' hashes passes all of them and few
 other places, and an exact join on the hash follows. Around the places a document gives up
 passages, as many words to either side as the longest item has; overlapping passages are one.
-Seeds are then kept by rarity: an item keeps those that are in at most RARE times as many
-passages as its median seed, so that turns of phrase of the corpus drop out, while an item that
-is itself copied often keeps its own. A (passage, item) pair with a kept seed is aligned
-by words, and its score is the local alignment's share of the best possible one; a document is
-contaminated by an item at a score of `threshold` or more.
+Every passage is aligned by words with every item that it shares a seed with, however common the
+seed; passages of equal words are aligned once. The score is the local alignment's share of
+the best possible one; a document is contaminated by an item at a score of `threshold` or more.
 
 Cases: null and empty texts and items have no seeds; items of fewer words than a seed have one
 seed, their whole word sequence; texts of any length are read whole, in passages; equal scores
@@ -18,6 +16,7 @@ empty table on either side gives no contamination; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -33,7 +32,7 @@ from vellum.llm.neardup import combine
 from vellum.llm.secrets import slices
 from vellum.plans.runtime import Scratch
 
-SEED, RARE, THRESHOLD = 4, 8, 0.5
+SEED, THRESHOLD = 4, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bits of the seeds' bitmap: 8 MB whatever the benchmark's size.
 BITS = 26
@@ -90,7 +89,7 @@ def spaced_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 PASSAGES = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
-        T.StructField("passage_id", T.LongType()),
+        T.StructField("passage_id", T.BinaryType()),
         T.StructField("first_word", T.LongType()),
         T.StructField("words", T.ArrayType(T.StringType())),
         T.StructField("seeds", T.ArrayType(T.LongType())),
@@ -99,7 +98,7 @@ PASSAGES = T.StructType(
 
 
 def passages(docs: DataFrame, bitmap: np.ndarray, reach: int, lengths: list[int]) -> DataFrame:
-    """The documents' passages around possible seeds; passage_id is a hash of document and place.
+    """The documents' passages around possible seeds; passage_id, of 128 bits, stands for the words.
 
     lengths: the seeds' numbers of words, several if some items have fewer words than a seed.
     """
@@ -144,11 +143,11 @@ def passages(docs: DataFrame, bitmap: np.ndarray, reach: int, lengths: list[int]
                 low, high = max(begin, int(where[part[0]]) - reach), min(int(ends[d]), int(where[part[-1]]) + reach)
                 words = flat.slice(low, high - low).to_pylist()
                 rows["doc_id"].append(ids[d])
-                rows["passage_id"].append(xxhash.xxh64_intdigest(f"{ids[d]} {low - begin} {' '.join(words)}") - (1 << 63))
+                rows["passage_id"].append(hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest())
                 rows["first_word"].append(low - begin)
                 rows["words"].append(words)
                 rows["seeds"].append(sorted(set(found[part].tolist())))
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("doc_id", pa.int64()), ("passage_id", pa.int64()), ("first_word", pa.int64()), ("words", pa.list_(pa.string())), ("seeds", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("doc_id", pa.int64()), ("passage_id", pa.binary()), ("first_word", pa.int64()), ("words", pa.list_(pa.string())), ("seeds", pa.list_(pa.int64()))]))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PASSAGES)
 
@@ -180,31 +179,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, n: in
     reach = (items.agg(F.max("n_words")).first()[0] or 0) + n
     lengths = sorted(r[0] for r in items.select(F.least("n_words", F.lit(n)).alias("m")).distinct().collect())
     found = scratch.save(passages(docs, _bitmap(items), reach, lengths), "passages")
+    texts = scratch.save(found.select("passage_id", "words", "seeds").dropDuplicates(["passage_id"]), "texts")
     by_seed = items.select("item_id", F.explode("seeds").alias("seed")).distinct()
-    hits = found.select("doc_id", "passage_id", F.explode("seeds").alias("seed")).distinct()
-    spread = hits.groupBy("seed").agg(F.count("*").alias("spread"))
-    rated = by_seed.join(spread, "seed")
-    median = rated.groupBy("item_id").agg(F.percentile("spread", F.lit(0.5)).alias("median"))
-    rare = rated.join(median, "item_id").where(F.col("spread") <= F.col("median") * RARE).select("seed", "item_id")
-    pairs = hits.join(rare, "seed").groupBy("doc_id", "passage_id", "item_id").agg(F.count("*").alias("n_seeds"))
-    texts = found.select("passage_id", "words").dropDuplicates(["passage_id"])
-    joined = pairs.join(texts, "passage_id").join(items.select("item_id", F.col("words").alias("item")).dropDuplicates(["item_id"]), "item_id")
+    pairs = texts.select("passage_id", F.explode("seeds").alias("seed")).join(by_seed, "seed").select("passage_id", "item_id").distinct()
+    joined = pairs.join(texts.select("passage_id", "words"), "passage_id").join(items.select("item_id", F.col("words").alias("item")).dropDuplicates(["item_id"]), "item_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, float] = {}
         for batch in batches:
             scores = []
             for passage, item in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                key = (hash(tuple(passage)), hash(tuple(item)))
-                if key not in known:
-                    if len(known) > 50000:
-                        known.clear()
-                    codes = {w: i for i, w in enumerate(dict.fromkeys(item))}
-                    best, _ = align(np.array([codes.get(w, -1) for w in passage]), np.array([codes[w] for w in item]))
-                    known[key] = best / (MATCH * len(item))
-                scores.append(known[key])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["doc_id", "item_id", "score"])
-
-    scored = joined.select("doc_id", "item_id", "words", "item").mapInArrow(run, "doc_id long, item_id long, score double")
-    best = scored.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.count("*").alias("n_passages"))
+                codes = {w: i for i, w in enumerate(dict.fromkeys(item))}
+                best, _ = align(np.array([codes.get(w, -1) for w in passage]), np.array([codes[w] for w in item]))
+                scores.append(best / (MATCH * len(item)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["passage_id", "item_id", "score"])
+
+    scored = joined.select("passage_id", "item_id", "words", "item").mapInArrow(run, "passage_id binary, item_id long, score double")
+    places = found.select("doc_id", "passage_id", "first_word").distinct()
+    best = places.join(scored, "passage_id").groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.count("*").alias("n_passages"))
     return scratch.finish(best.withColumn("contaminated", F.col("score") >= threshold))
