@@ -116,3 +116,39 @@ def test_coarse_gate_lets_every_rule_through():
     for text, label in samples.items():
         assert any(re.search(regex, f" {text} ") and keyword in f" {text} " for _, la, keyword, regex, _ in licenses.rules() if la == label), text
         assert any(g in f" {text} " for g in gate), text
+
+
+def wordings(parsed):
+    """A text for every choice of alternatives, optional parts and characters' first choice."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            options = [chr(arg)]
+        elif name == "IN":
+            options = [chr(v if str(o) == "LITERAL" else v[0]) for o, v in arg]
+        elif name == "BRANCH":
+            options = [w for part in arg[1] for w in wordings(part)]
+        elif name == "SUBPATTERN":
+            options = wordings(arg[3])
+        elif name == "MAX_REPEAT":
+            low, _, part = arg
+            options = [w * n for w in wordings(part) for n in (low, low + 1)] if low <= 1 else [w * low for w in wordings(part)[:1]]
+        else:
+            raise AssertionError(name)
+        out = [a + b for a in out for b in dict.fromkeys(options)]
+    return out
+
+
+def test_gates_let_every_alternative_of_every_rule_through():
+    gate, n = licenses.coarse_gate(), 0
+    for _, label, keyword, regex, _ in licenses.rules():
+        for text in wordings(re._parser.parse(re.fullmatch(r"\(\?<= \)(\(\?:.*\))\(\?= \)", regex)[1])):
+            text, n = f" {text} ", n + 1
+            assert re.search(regex, text) and keyword in text and any(g in text for g in gate), (label, text)
+    assert n > 2 * len(licenses.rules())
+
+
+def test_zero_clause_bsd_by_its_name(spark):
+    row = licenses.digest(licenses.scan(frame(spark, [(1, "under the Zero-Clause BSD license"), (2, "see Zero Clause BSD")]))).orderBy("doc_id").collect()
+    assert all("0bsd" in r.labels.split(",") for r in row)

@@ -84,7 +84,8 @@ NOTICES = (
     ("bsd-2-clause", "freebsd", "freebsd(?: licen[cs]e)?", 2),
     ("bsd-3-clause", "bsd", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd)(?: licen[cs]e)?", 2),
     ("bsd-4-clause", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)(?: licen[cs]e)?", 2),
-    ("0bsd", "0bsd", "0bsd|zero clause bsd", 2),
+    ("0bsd", "0bsd", "0bsd", 2),
+    ("0bsd", "zero clause", "zero clause bsd", 2),
     ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification", 1),
     ("zlib", "zlib", "zlib (?:libpng )?licen[cs]e", 3),
     ("zlib", "provided as is", "this software is provided as is without any express or implied warranty", 2),
