@@ -75,6 +75,25 @@ def test_language_id_learns_and_rejects(spark):
     assert langid.predict(none, langid.train(none)).first().lang_pred == "und"
 
 
+def test_language_id_tells_languages_of_other_scripts(spark):
+    letters = {"zh": "的是不在人有我他这中", "ar": "منالىهوفيب"}
+    rnd = random.Random(4)
+    text = lambda lang: " ".join("".join(rnd.choice(letters[lang]) for _ in range(4)) for _ in range(10))
+    docs = frame(spark, [(i, text(lang), lang) for i in range(200) for lang in [("zh", "ar")[i % 2]]])
+    held = docs.where(langid.held_out(docs.doc_id))
+    out = langid.predict(held, langid.train(docs), keep=("doc_id", "lang")).collect()
+    assert {r.lang for r in out} == {"zh", "ar"} and all(r.lang_pred == r.lang and r.score > 0.99 for r in out)
+
+
+def test_vocabulary_keeps_all_letter_pieces_and_their_edges():
+    pieces = langid.read_pieces(langid.VOCABULARY)
+    assert max(map(len, pieces)) > 10 and any(ord(p[-1]) >= 0x530 for p in pieces if p != langid.MARK)
+    trie = langid.Trie(pieces)
+    for k in [k for k, p in enumerate(pieces) if p != langid.MARK and (len(p) > 10 or ord(p[-1]) >= 0x530)]:
+        codes = np.array([[trie.chars[c] for c in pieces[k]]], np.int32)
+        assert any(s == 0 and e == len(pieces[k]) and ids[0] == k for s, e, _, ids in trie.edges(codes)), pieces[k]
+
+
 def brute_url(url):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     host = re.match(r"[^/?#]*", rest)[0]

@@ -34,12 +34,12 @@ from vellum.llm.secrets import slices
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bound of the training sample: documents a language.
 MAX_DOCS = 1000
-MAX_WORD, MAX_PIECE = 24, 10
+MAX_WORD = 24
 ROUNDS = 3
 #: Probability of a character by itself if no piece has it, and the weight of smoothing.
 CHAR_FLOOR, SMOOTHING = 1e-7, 0.1
 MARK = "▁"
-#: Letters below this code point (Latin, Greek, Cyrillic) make up the table of edges; others stand alone.
+#: Edges of letters below this code point (Latin, Greek, Cyrillic) are in a dense table, others in a sorted one.
 LETTERS_BELOW = 0x530
 
 
@@ -51,15 +51,20 @@ def read_pieces(path: str) -> tuple[str, ...]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i) for i in range(model.get_piece_size())}
     letters = lambda p: p.removeprefix(MARK)
-    return tuple(sorted(p for p in pieces if letters(p).isalpha() and p == p.lower() and len(p) <= MAX_PIECE and max(map(ord, letters(p))) < LETTERS_BELOW) + [MARK])
+    return tuple(sorted(p for p in pieces if letters(p).isalpha() and p == p.lower()) + [MARK])
 
 
 class Trie:
-    """All pieces as one table: edge[node * n_chars + char] -> node, piece[node] -> id or the id of none."""
+    """All pieces: edge[node * n_chars + char] -> node, piece[node] -> id or the id of none.
+
+    Characters from n_chars on have their few edges in `far`, sorted by node * n_codes + char.
+    """
 
     def __init__(self, pieces: tuple[str, ...]):
-        self.chars = {c: i + 1 for i, c in enumerate(sorted(set("".join(pieces))))}
-        self.n_chars, self.n_pieces = len(self.chars) + 1, len(pieces)
+        far = lambda c: c != MARK and ord(c) >= LETTERS_BELOW
+        self.chars = {c: i + 1 for i, c in enumerate(sorted(set("".join(pieces)), key=lambda c: (far(c), c)))}
+        self.n_chars, self.n_codes, self.n_pieces = sum(not far(c) for c in self.chars) + 1, len(self.chars) + 1, len(pieces)
+        self.depth = max(map(len, pieces))
         nodes: list[dict[int, int]] = [{}, {}]  # node 0 is dead, node 1 the root
         ids = {}
         for k, piece in enumerate(pieces):
@@ -74,7 +79,11 @@ class Trie:
         self.piece = np.full(len(nodes), self.n_pieces, np.int32)
         for at, to in enumerate(nodes):
             for code, node in to.items():
-                self.edge[at * self.n_chars + code] = node
+                if code < self.n_chars:
+                    self.edge[at * self.n_chars + code] = node
+        keyed = sorted((at * self.n_codes + code, node) for at, to in enumerate(nodes) for code, node in to.items() if code >= self.n_chars)
+        self.far = np.array([k for k, _ in keyed], np.int64)
+        self.far_node = np.array([node for _, node in keyed], np.int32)
         for at, k in ids.items():
             self.piece[at] = k
         self.code = np.zeros(max(map(ord, self.chars)) + 1, np.int32)
@@ -92,13 +101,24 @@ class Trie:
                 codes = self.code[np.where(points < len(self.code), points, 0)]
                 yield part, np.concatenate([np.full((len(part), 1), self.chars[MARK], np.int32), codes], axis=1)
 
+    def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The nodes reached by one character each, 0 where there is no edge."""
+        far = code >= self.n_chars
+        if not far.any():
+            return self.edge[node * self.n_chars + code]
+        out = self.edge[node * self.n_chars + np.where(far, 0, code)]
+        key = node[far].astype(np.int64) * self.n_codes + code[far]
+        at = np.minimum(np.searchsorted(self.far, key), len(self.far) - 1)
+        out[far] = np.where(self.far[at] == key, self.far_node[at], 0)
+        return out
+
     def edges(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(start, end, rows, piece ids) of all pieces that occur in the words, by start."""
         n, size = codes.shape
         for s in range(size):
             rows, node = np.arange(n), np.ones(n, np.int32)
-            for e in range(s, min(size, s + MAX_PIECE)):
-                node = self.edge[node * self.n_chars + codes[rows, e]]
+            for e in range(s, min(size, s + self.depth)):
+                node = self.step(node, codes[rows, e])
                 live = node > 0
                 if not live.all():
                     rows, node = rows[live], node[live]
