@@ -1,12 +1,13 @@
-"""Near duplicates, repeated strings, components and the pipeline against brute force."""
+"""Near duplicates, repeated strings and components against brute force."""
 
 import hashlib
 import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
-from tests.llm.helpers import AWKWARD, LONG, frame
+from tests.llm.helpers import AWKWARD, LONG, frame, sliced
 from vellum.llm import components, neardup, repeats
 from vellum.plans.runtime import Scratch
 
@@ -61,6 +62,28 @@ def test_near_duplicates_match_brute_force(spark):
     assert neardup.near_duplicates(frame(spark, []), Scratch(spark, "t")).count() == 0
 
 
+def test_shingle_sets_of_slices():
+    texts = pa.array(["Ab cD é"] * 50 + [None, "", "X y Z w"] + ["q R"] * 20)
+    whole = [s.tolist() for s in neardup.shingle_sets(texts, 2)]
+    for at, size in ((3, 10), (49, 6), (60, 13)):
+        assert [s.tolist() for s in neardup.shingle_sets(texts.slice(at, size), 2)] == whole[at : at + size]
+
+
+def test_near_duplicates_in_many_slices(spark, monkeypatch):
+    sliced(monkeypatch, neardup)
+    test_near_duplicates_match_brute_force(spark)
+
+
+def test_near_duplicates_in_default_slices(spark):
+    """Over 8 MB in one batch: several slices of the production size."""
+    rnd = random.Random(6)
+    vocab = [f"W{i}" for i in range(500)]
+    texts = [" ".join(rnd.choice(vocab) for _ in range(9000)) for _ in range(160)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t.lower()) for i, t in enumerate(texts[::8])]
+    got = neardup.near_duplicates(frame(spark, rows).coalesce(1), Scratch(spark, "t"), 3, 85, 100).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 3, 85, 100)
+
+
 def test_long_lists_take_the_full_set_path(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SHORT", 2)
     monkeypatch.setattr(neardup, "LONG", 4)
@@ -105,6 +128,11 @@ def test_repeats_match_brute_force(spark):
     assert repeats.remove_repeats(frame(spark, []), Scratch(spark, "t")).count() == 0
 
 
+def test_repeats_in_many_slices(spark, monkeypatch):
+    sliced(monkeypatch, repeats)
+    test_repeats_match_brute_force(spark)
+
+
 def test_repeats_production_length(spark):
     rows = [(1, LONG[:900] + "tail one"), (2, "head " + LONG[100:600]), (3, "unique " * 3), (4, None)]
     got = repeats.remove_repeats(frame(spark, rows), Scratch(spark, "t")).collect()

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from tests.llm.helpers import AWKWARD, LONG, frame
+from tests.llm.helpers import AWKWARD, LONG, frame, sliced
 from vellum.llm import decontaminate, langid, secrets, urls
 from vellum.llm.automaton import Automaton
 from vellum.plans.runtime import Scratch
@@ -159,6 +159,15 @@ def test_edited_copies_beside_a_verbatim_one_are_aligned(spark):
     assert got[0].score == 1.0 and all(got[i].score >= (2 * 32 - 7) / 80 for i in range(1, 25))
 
 
+def test_text_operators_in_many_slices(spark, monkeypatch):
+    for module in (secrets, langid, decontaminate):
+        sliced(monkeypatch, module)
+    test_secrets_match_regex_engine(spark)
+    test_secrets_awkward_mask_and_empty(spark)
+    test_language_id_learns_and_rejects(spark)
+    test_decontamination(spark)
+
+
 def test_slices_keep_rows():
     batch = pa.RecordBatch.from_pydict({"t": pa.array(["a" * 10, None, "b" * 100, "", "c" * 5])})
     parts = list(secrets.slices(iter([batch]), "t", 12))

@@ -70,7 +70,8 @@ def least_shared(similarity: float, k: int = SKETCH, loss: float = LOSS) -> int:
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all texts' words (A-Z lower-cased) one after another, and the number a text has."""
-    texts = pc.ascii_lower(pc.coalesce(texts.cast(pa.large_string()), pa.scalar("", pa.large_string())))
+    # Lowered before the cast: a cast slice keeps its offsets, which ascii_lower misreads.
+    texts = pc.coalesce(pc.ascii_lower(texts).cast(pa.large_string()), pa.scalar("", pa.large_string()))
     lists = pc.ascii_split_whitespace(texts)
     flat, parents = lists.flatten(), np.asarray(pc.list_parent_indices(lists))
     filled = pc.not_equal(flat, "")

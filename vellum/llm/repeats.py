@@ -168,7 +168,7 @@ def segments(candidates: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     names = SEGMENTS.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", limit=2 << 20):
             rows: dict[str, list] = {n: [] for n in names}
             texts = _bytes(batch.column(2))
             for tk, keys, text in zip(batch.column(0).to_pylist(), batch.column(1), texts, strict=True):

@@ -154,7 +154,11 @@ def masked(doc: bytes, spans: list[tuple[int, int, int]], mark: bytes = b"[SECRE
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `limit` bytes of text, or one row."""
+    """The same rows in batches of about `limit` bytes of text, or one row.
+
+    A part of a batch is copied, so that its arrays begin at their buffers' start: pyarrow's
+    ASCII kernels read the wrong bytes of a cast array that does not.
+    """
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         n, start = len(texts), 0
@@ -162,7 +166,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
         total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         while start < n:
             stop = max(start + 1, int(np.searchsorted(total, total[start] + limit, side="right")) - 1)
-            yield batch.slice(start, stop - start)
+            yield batch if stop - start == n else batch.take(pa.array(np.arange(start, stop)))
             start = stop
 
 
