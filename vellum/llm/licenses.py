@@ -9,13 +9,15 @@ equal priority that is strictly longer, or equally long and earlier in the rules
 The base phrases are counted at every place and their labels always stay.
 
 Cases: null text counts as empty (no words, empty label strings, score 0); texts of any length
-are scanned whole; overlapping, tied and repeated detections are resolved as above; rows are
+are scanned whole, in time linear in their length times the rules at work, however many matches
+they hold; overlapping, tied and repeated detections are resolved as above; rows are
 independent, so repeated rows give repeated results and an empty table gives none; other
 columns are ignored, so their names cannot clash.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 
@@ -25,7 +27,6 @@ from pyspark.sql import functions as F
 # The base phrases and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Between words stand ASCII characters that are neither letters nor digits.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -112,7 +113,7 @@ NOTICES = (
     ("x11", "x11", "x11 license|mit x11", 3),
     ("postgresql", "postgresql", "postgresql licen[cs]e", 3),
     ("json", "good not evil", "the software shall be used for good not evil", 1),
-    ("llama", "community license", "llama(?: [0-9])* community license", 3),
+    ("llama", "community license", "llama(?: [0-9]){0,3} community license", 3),
     ("openrail", "openrail", "(?:bigscience |creativeml )?openrail(?: m)?(?: license)?", 3),
     ("openrail", "open rail", "(?:bigscience |creativeml )?open rail(?: m)?(?: license)?", 3),
 )
@@ -149,40 +150,89 @@ def coarse_gate() -> list[str]:
     return sorted(k for k in out if not any(other != k and other in k for other in out))
 
 
+def longest(regex: str) -> int:
+    """A bound of the words that a rule's match can have."""
+    body = re.fullmatch(r"\(\?<= \)\(\?:(.*)\)\(\?= \)", regex)[1]
+    spread = re.sub(r"\(\?:([^()]*)\)\{\d+,(\d+)\}", lambda m: m[1] * int(m[2]), body)
+    if re.search(r"[ ).][*+]|[ ).]\{\d+,", spread):
+        raise ValueError(f"no bound of a match's words: {regex}")
+    return spread.count(" ") + 1
+
+
 def _spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
 
+def lowered(text: Column) -> Column:
+    """A-Z lower-cased as far as ASCII words go.
+
+    The two other characters whose lower case holds an ASCII letter are replaced first, so that
+    no ASCII letter appears where there was none; other letters' case changes no word's place.
+    """
+    return F.lower(F.replace(F.replace(text, F.lit("\u0130"), F.lit("\u00df")), F.lit("\u212a"), F.lit("\u00df")))
+
+
 def canonical(text: Column) -> Column:
-    """The words of a text, A-Z lower-cased, each between single spaces; one space if there are none."""
-    body = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP, " ")
-    body = F.trim(body)
+    """The words of a text, lowered, each between single spaces; one space if there are none."""
+    body = F.trim(F.regexp_replace(lowered(F.coalesce(text, F.lit(""))), GAP, " "))
     return F.when(body == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), body, F.lit(" ")))
 
 
+#: Marks around a match; canonical texts hold no control characters.
+OPEN, CLOSE = "\x01", "\x02"
+PLACES = "array<struct<start:int,stop:int>>"
+
+
 def starts(canon: Column, regex: Column) -> Column:
-    """array<struct<start, stop>>: word intervals (stop exclusive) of a regex's matches, in order."""
-    pieces, found = F.split(canon, regex, -1), F.regexp_extract_all(canon, regex, F.lit(0))
-    empty = F.array().cast("array<struct<start:int,stop:int>>")
-    step = lambda acc, x: F.struct(
-        (acc["n"] + _spaces(x["p"]) + F.coalesce(_spaces(x["m"]), F.lit(0))).cast("int").alias("n"),
-        F.when(x["m"].isNull(), acc["out"])
-        .otherwise(F.concat(acc["out"], F.array(F.struct((acc["n"] + _spaces(x["p"]) - 1).cast("int").alias("start"), (acc["n"] + _spaces(x["p"]) + _spaces(x["m"])).cast("int").alias("stop")))))
-        .alias("out"),
-    )
-    zipped = F.transform(F.arrays_zip(pieces.alias("p"), found.alias("m")), lambda z: F.struct(z["p"].alias("p"), z["m"].alias("m")))
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("n"), empty.alias("out")), step, lambda acc: acc["out"])
+    """array<struct<start, stop>>: word intervals (stop exclusive) of a regex's matches, in order.
+
+    Matches are marked and the marked text is split at its spaces, so that the time is linear
+    in the text's length, however many matches it has. A match begins and ends with a word.
+    """
+
+    def places(marked: Column) -> Column:
+        words = F.split(marked, " ")
+        first = F.filter(F.transform(words, lambda w, i: F.when(F.startswith(w, F.lit(OPEN)), i - 1)), lambda x: x.isNotNull())
+        last = F.filter(F.transform(words, lambda w, i: F.when(F.endswith(w, F.lit(CLOSE)), i)), lambda x: x.isNotNull())
+        return F.when(F.contains(marked, F.lit(OPEN)), F.zip_with(first, last, lambda a, b: F.struct(a.alias("start"), b.alias("stop"))))
+
+    # An array of one, so that the marked text is made once.
+    marked = F.array(F.regexp_replace(canon, regex, F.lit(f"{OPEN}$0{CLOSE}")))
+    return F.coalesce(F.get(F.transform(marked, places), F.lit(0)), F.array().cast(PLACES))
+
+
+def suppressed(found: Column, reach: Column) -> Column:
+    """The detections that no other beats, in order of place.
+
+    Sorted by start, the longer first, then by priority and order, whatever beats a detection
+    stands before it: it contains it and its priority is no worse. As no rule's matches
+    overlap, at most `reach` detections (the rules at work times the longest match) begin less
+    than a match's length before it, so that only these are looked at.
+    """
+    place = lambda d: F.struct(d["start"].alias("start"), (-d["stop"]).alias("back"), d["priority"].alias("priority"), d["order"].alias("order"), d["label"].alias("label"))
+    # An array of one: lambda variables are evaluated once, other expressions for each element.
+    bound = F.array(F.struct(F.sort_array(F.transform(found, place)).alias("rows"), reach.alias("reach")))
+
+    def standing(both: Column) -> Column:
+        rows, reach = both["rows"], both["reach"]
+        # By places: a slice would copy the whole array for each detection.
+        ahead = lambda i: F.when(i > 0, F.sequence(F.greatest(F.lit(0), i - reach), i - 1)).otherwise(F.array().cast("array<int>"))
+        beats = lambda e, d: (e["back"] <= d["back"]) & (e["priority"] <= d["priority"])
+        return F.filter(rows, lambda d, i: ~F.exists(ahead(i), lambda j: beats(F.get(rows, j), d)))
+
+    return F.transform(F.get(F.transform(bound, standing), F.lit(0)), lambda d: F.struct(d["label"].alias("label"), d["priority"].alias("priority"), d["order"].alias("order"), d["start"].alias("start"), (-d["back"]).alias("stop")))
 
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, n_words, base (intervals by phrase), kept (detections left after suppression)."""
     table = rules()
-    rows = F.array(*[F.struct(F.lit(o).alias("order"), F.lit(la).alias("label"), F.lit(k).alias("keyword"), F.lit(r).alias("regex"), F.lit(p).alias("priority")) for o, la, k, r, p in table])
+    # One literal, folded by the optimizer: hundreds of struct expressions take seconds to build.
+    names = ("order", "label", "keyword", "regex", "priority")
+    rows = F.from_json(F.lit(json.dumps([dict(zip(names, rule, strict=True)) for rule in table])), "array<struct<order:int,label:string,keyword:string,regex:string,priority:int>>")
     words = coarse_gate()
     out = docs.select(*keep, canonical(F.col(text)).alias("_canon"))
     n_words = F.when(F.col("_canon") == " ", F.lit(0)).otherwise(_spaces(F.col("_canon")) - 1)
-    base_type = "array<struct<label:string,start:int,stop:int>>"
-    none = F.array().cast(base_type)
+    none = F.array().cast("array<struct<label:string,start:int,stop:int>>")
 
     def places(phrase: str, label: str) -> Column:
         found = F.transform(starts(F.col("_canon"), F.lit(rf"(?<= ){phrase}(?= )")), lambda m: F.struct(F.lit(label).alias("label"), m["start"].alias("start"), m["stop"].alias("stop")))
@@ -202,14 +252,8 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     )
     found_type = "array<struct<label:string,priority:int,order:int,start:int,stop:int>>"
     out = out.withColumns({"n_words": n_words.cast("long"), "base": F.concat(*base), "found": F.when(gate, found).otherwise(F.array().cast(found_type))})
-
-    def beaten(d: Column, e: Column) -> Column:
-        inside = (e["start"] <= d["start"]) & (e["stop"] >= d["stop"])
-        longer = (e["stop"] - e["start"]) > (d["stop"] - d["start"])
-        same = (e["stop"] == d["stop"]) & (e["start"] == d["start"])
-        return inside & ((e["priority"] < d["priority"]) | ((e["priority"] == d["priority"]) & (longer | (same & (e["order"] < d["order"])))))
-
-    kept = F.filter("found", lambda d: ~F.exists(F.col("found"), lambda e: beaten(d, e)))
+    at_work = F.size(F.array_distinct(F.transform("found", lambda d: d["order"])))
+    kept = F.when(F.size("found") > 1, suppressed(F.col("found"), at_work * max(longest(r) for _, _, _, r, _ in table))).otherwise(F.col("found"))
     return out.withColumn("kept", kept).drop("_canon")
 
 
