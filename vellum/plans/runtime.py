@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -34,9 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
+    """The shared folder named by spark.checkpoint.dir; where it is unset on a single machine, a temporary one is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="vellum-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -74,13 +77,17 @@ class Scratch:
     def drop(self, *frames: DataFrame) -> None:
         gone = [path for frame, path in self.saved if any(frame is f for f in frames)]
         self.saved = [(frame, path) for frame, path in self.saved if path not in gone]
+        self._delete(gone)
+
+    def _delete(self, paths: list[str]) -> None:
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for path in gone:
+        for path in paths:
             p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
 
-    def finish(self, df: DataFrame, label: str = "result") -> DataFrame:
-        """Save an operator's result and drop all its other tables."""
+    def finish(self, df: DataFrame, label: str = "result", folders: Iterable[str] = ()) -> DataFrame:
+        """Save an operator's result and drop all its other tables, and the folders named."""
         out = self.save(df, label)
         self.drop(*[frame for frame, _ in self.saved if frame is not out])
+        self._delete(list(folders))
         return out
