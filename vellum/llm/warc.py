@@ -37,8 +37,8 @@ from vellum.llm.secrets import slices
 from vellum.plans.runtime import Scratch
 
 LEAST_REVISIT = 1000
-#: A package is closed at so many bytes; ranges up to READ bytes are read at once.
-PACKAGE, READ = 64 << 20, 4 << 20
+#: A package is closed at so many bytes; ranges up to READ bytes are read at once; a task reads about TASK bytes.
+PACKAGE, READ, TASK = 64 << 20, 4 << 20, 32 << 20
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CONTROL = re.compile(r"[\x00-\x20\x7f]")
@@ -151,8 +151,12 @@ def read_index(packages: DataFrame, folder: str) -> DataFrame:
 FIELDS = (("page_id", "long"), ("url", "string"), ("payload_bytes", "long"), ("payload_digest", "string"), ("record_type", "string"), ("refers_to", "long"))
 
 
-def read_records(ranges: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """The records at the byte ranges, with their payloads (as text) unless told otherwise."""
+def read_records(ranges: DataFrame, folder: str, payloads: bool = True, tasks: int | None = None) -> DataFrame:
+    """The records at the byte ranges, with their payloads (as text) unless told otherwise.
+
+    tasks: by the archives' bytes; the ranges themselves are so small that Spark would put them
+    all into one task.
+    """
     fields = [*FIELDS, *([("payload", "string")] if payloads else [])]
     arrow = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in fields])
 
@@ -182,12 +186,16 @@ def read_records(ranges: DataFrame, folder: str, payloads: bool = True) -> DataF
                     rows, size = {n: [] for n, _ in fields}, 0
             yield pa.RecordBatch.from_pydict(rows, schema=arrow)
 
-    dealt = ranges.withColumn("block", F.floor(F.col("offset") / (2 * READ))).repartition("path", "block").sortWithinPartitions("path", "offset").drop("block")
+    blocks = ranges.withColumn("block", F.floor(F.col("offset") / (2 * READ)))
+    dealt = (blocks.repartition(tasks, "path", "block") if tasks else blocks.repartition("path", "block")).sortWithinPartitions("path", "offset").drop("block")
     return dealt.mapInArrow(run, T.StructType([T.StructField(n, T.LongType() if t == "long" else T.StringType()) for n, t in fields]))
 
 
 def round_trip(pages: DataFrame, scratch: Scratch, payloads: bool = False, zip64: bool | None = None) -> DataFrame:
-    """Pages to packages and back: the records as they were read."""
+    """Pages to packages and back: the records as they were read. The packages go once they are read."""
     folder = scratch.folder("packages")
     packages = scratch.save(write_packages(planned(pages), folder, zip64=zip64), "manifest")
-    return read_records(read_index(packages.repartition("path"), folder), folder, payloads)
+    n_bytes = packages.agg(F.sum("n_bytes")).first()[0] or 0
+    tasks = max(-(-n_bytes // TASK), pages.sparkSession.sparkContext.defaultParallelism)
+    records = read_records(read_index(packages.repartition("path"), folder), folder, payloads, tasks)
+    return scratch.finish(records, folders=[folder])
