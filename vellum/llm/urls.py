@@ -1,6 +1,7 @@
 """URL filters: domain and path rules, then logistic regression on hashed character n-grams.
 
-The classifier is fitted on a small labelled table of URLs (below; a parameter). Features are
+The classifier is fitted on a small labelled table of URLs (below; a parameter), whose held-out
+accuracy `cross_validated` gives. Features are
 the 3- to 5-byte grams of the host and of the path, with marks at either end, hashed to
 2**BITS weights; a gram counts once for each time it occurs, over the square root of the number
 of grams. A rule fits its host and all subdomains if the path starts with the rule's path; the
@@ -23,29 +24,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellum.llm.secrets import slices
+
 # Fixed values: (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
-# The labelled URLs, as host and path.
-BLOCKED = (
-    "spam-farm.example.org /en/728", "spam-mail.example.net /offer", "www.free-casino.example.com /slots/win", "casino-bonus.example.net /play/jackpot", "bet365-poker.example.org /bet/live",
-    "cheap-viagra.example.com /buy/pills", "pharma-online.example.net /order/cialis", "xxx-tube.example.com /porn/video", "adult-cams.example.net /live/sex", "hot-porn.example.org /xxx/gallery",
-    "free-money.example.com /get/rich-quick", "payday-loan.example.net /apply/now", "warez-crack.example.org /download/keygen", "torrent-pirate.example.com /get/movie.torrent", "click-bait.example.net /you-wont-believe",
-    "malware-drop.example.com /setup.exe", "phish-login.example.net /verify/account", "link-farm.example.org /en/links", "seo-spam.example.com /backlinks", "replica-watches.example.net /rolex/cheap",
-    "spam-farm.example.com /de/12", "spamblog.example.net /fr/55", "adserver.example.com /ad/click?", "popup-ads.example.net /track/banner", "doorway-page.example.org /redirect/offer",
-    "casino-win.example.org /en/3413", "m.win-casino.example.net /fr/12", "www.lucky-casino.example.com /en/77", "spam-farm.example.net /es/4/", "m.spam-offers.example.com /en/9",
-)
-ALLOWED = (
-    "blog.theron.example.com /en/825", "m.thrent.example.net /en/25", "thtion.example.org /en/685", "www.library.example.org /books/history", "docs.python.example.com /tutorial/index.html",
-    "news.daily.example.net /world/article", "en.wiki.example.org /wiki/mathematics", "www.university.example.edu /research/physics", "blog.gardening.example.com /posts/roses", "recipes.kitchen.example.net /bread/sourdough",
-    "forum.linux.example.org /thread/kernel", "museum.example.org /collection/paintings", "weather.example.com /forecast/today", "maps.example.net /city/centre", "science.journal.example.com /paper/abstract",
-    "sports.example.com /football/results", "shop.books.example.net /novels/classic", "health.clinic.example.org /advice/sleep", "travel.example.com /guide/lisbon", "music.example.net /album/jazz",
-    "m.therou.example.com /en/474.html", "blog.tionsh.example.net /es/533", "therha.example.com /en/676", "anding.example.net /fr/96", "erstat.example.org /de/369",
-    "m.winter.example.net /de/14", "blog.farming.example.com /en/52", "therble.example.net /fr/5063/", "www.ingtion.example.com /es/77.html", "thether.example.com /en/4",
-)
+#: The labelled table: hosts and paths about a topic, labelled by hand by the topic. A site about
+#: gambling, pharmacies, adult content, piracy, phishing, lending or link spam is blocked.
+BLOCKED = "casino poker jackpot betting slots viagra cialis pills pharma porn xxx sexcam escort nude warez keygen torrent crack serials phishing malware trojan payday loans richquick replica backlinks spam linkfarm clickbait".split()
+ALLOWED = "library museum weather recipes garden physics history football travel music university science health novels kernel python forecast theatre opera farming chemistry astronomy cycling knitting railway archive gallery bakery orchestra wildlife".split()
+TEMPLATES = (("{0}.example.com", "/en/{1}"), ("www.{0}-site.example.net", "/{0}/index.html"), ("m.my{0}.example.org", "/fr/{1}/"), ("blog.example.net", "/posts/{0}"))
 BITS, SIZES, ROUNDS, RATE, DECAY = 16, (3, 4, 5), 300, 1.0, 1e-3
+#: Probability from which a URL is blocked: hosts that say nothing come out near a half.
+CUT = 0.65
 
-LABELLED = tuple((*u.split(" ", 1), 1) for u in BLOCKED) + tuple((*u.split(" ", 1), 0) for u in ALLOWED)
+LABELLED = tuple((host.format(w, 7 * i), path.format(w, 7 * i), label) for label, words in ((1, BLOCKED), (0, ALLOWED)) for i, w in enumerate(words) for host, path in TEMPLATES)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -115,7 +108,18 @@ def fit(labelled: tuple[tuple[str, str, int], ...] = LABELLED) -> tuple[np.ndarr
     return weights, bias
 
 
-def judge(pages: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",), rules=RULES, labelled=LABELLED, cut: float = 0.5) -> DataFrame:
+def cross_validated(labelled: tuple[tuple[str, str, int], ...] = LABELLED, folds: int = 5) -> float:
+    """The share of labelled URLs told rightly by a model fitted on the other folds."""
+    right = 0
+    for k in range(folds):
+        model = fit(tuple(r for i, r in enumerate(labelled) if i % folds != k))
+        held = [r for i, r in enumerate(labelled) if i % folds == k]
+        found = probabilities(*model, [r[0] for r in held], [r[1] for r in held])
+        right += sum((p >= CUT) == bool(r[2]) for p, r in zip(found, held, strict=True))
+    return right / len(labelled)
+
+
+def judge(pages: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",), rules=RULES, labelled=LABELLED, cut: float = CUT) -> DataFrame:
     """keep, host, path, rule, verdict and score (the classifier's probability of a block)."""
     own = ("host", "path", "rule", "verdict", "score")
     kept = [c for c in keep if c not in own]
@@ -125,8 +129,8 @@ def judge(pages: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id"
     schema = T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_columns
+        n = len(schema.names) - 1
+        for batch in slices(slices(batches, "path", limit=1 << 20), "host", limit=1 << 20):
             p = probabilities(*shared.value, batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=schema.names)
 
