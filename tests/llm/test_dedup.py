@@ -84,9 +84,10 @@ def test_near_duplicates_in_default_slices(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 3, 85, 100)
 
 
-def test_long_lists_take_the_full_set_path(spark, monkeypatch):
+def test_long_lists_take_the_full_set_path_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SHORT", 2)
     monkeypatch.setattr(neardup, "LONG", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 3)
     rows = near_rows()
     got = neardup.near_duplicates(frame(spark, rows), Scratch(spark, "t"), 3, 85, 100).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 3, 85, 100)

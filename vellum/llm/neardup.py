@@ -54,6 +54,8 @@ SHORT, LONG = 32, 8192
 WIDE = 256
 #: A node's rarest lists, whose heads it may be compared with first.
 VOTES = 8
+#: Members of a list that one task compares with one another, or with as many others.
+BLOCK = 512
 #: Columns of an incidence matrix in the comparison of a block of nodes; it bounds its memory.
 VALUES = 4096
 
@@ -120,20 +122,28 @@ def lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(docs: DataFrame, n: int, k: int = SKETCH) -> DataFrame:
-    """(doc_id, n_shingles, fp, sketch); fp, of 128 bits, stands for the whole set and is null for an empty one."""
+    """(doc_id, text_hash, n_shingles, fp, sketch); fp, of 128 bits, stands for the whole set and is null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column(1), n)
             fps = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), lists([s[:k] for s in sets])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "fp", "sketch"])
+            columns = [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), lists([s[:k] for s in sets])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "fp", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, fp binary, sketch array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, fp binary, sketch array<long>")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(fp, hashes) of the wanted (doc_id, fp): the text of one document a node is read again."""
+    """(fp, hashes) of the wanted (doc_id, text_hash, fp): the text of one document a node is read again.
+
+    Rows of one doc_id, or of none, are told apart by the hash of their texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -142,8 +152,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             same = [i for i, (a, b) in enumerate(zip(fps, batch.column(0).to_pylist(), strict=True)) if a == b]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(same, pa.int64())), lists([sets[i] for i in same])], names=["fp", "hashes"])
 
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = texts.join(wanted.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "fp"), "doc_id").select("fp", "text")
+    key = [F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text_hash"]
+    joined = _texts(docs).select(*key, "text").join(wanted.select(*key, "fp"), ["doc_id", "text_hash"]).select("fp", "text")
     return joined.mapInArrow(run, "fp binary, hashes array<long>").dropDuplicates(["fp"])
 
 
@@ -185,12 +195,13 @@ def open_lists(listed: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFra
     return named, lists.where("x != y").select("value", "members")
 
 
-def compare(n: np.ndarray, labels: list, sketches: list[np.ndarray], k: int, num: int, den: int, here: Callable = lambda x, y: True, block: int = 512) -> Iterator[tuple[int, int]]:
+def compare(n: np.ndarray, labels: list, sketches: list[np.ndarray], k: int, num: int, den: int, here: Callable = lambda x, y: True, left: int | None = None, block: int = 512) -> Iterator[tuple[int, int]]:
     """Pairs of a list's members with different labels that may be similar enough, by blocks of members.
 
-    Sets of at most k hashes are their own sketches; pairs of these are decided here, and only
-    those that join components are returned. Of other pairs all are returned whose sketches
-    share as many values as similar sets' sketches do.
+    left: how many members stand on the left; only pairs of a left and a right member are
+    looked at. None: all pairs. Sets of at most k hashes are their own sketches; pairs of these
+    are decided here, and only those that join components are returned. Of other pairs all are
+    returned whose sketches share as many values as similar sets' sketches do.
     """
     wanted, root = least_shared(num / den, k), {}
 
@@ -199,68 +210,82 @@ def compare(n: np.ndarray, labels: list, sketches: list[np.ndarray], k: int, num
             root[x] = x = root.get(up, up)
         return x
 
+    def parts(low: int, high: int) -> list[range]:
+        return [range(i, min(i + block, high)) for i in range(low, high, block)]
+
+    if left is None:
+        pairs = [(p, q) for p in parts(0, len(n)) for q in parts(0, len(n)) if p.start <= q.start]
+    else:
+        pairs = [(p, q) for p in parts(0, left) for q in parts(left, len(n))]
     _, label = np.unique(np.array(labels, object).astype("S32"), return_inverse=True)
-    for i in range(0, len(n), block):
-        for j in range(i, len(n), block):
-            left, right = range(i, min(i + block, len(n))), range(j, min(j + block, len(n)))
-            values, codes = np.unique(np.concatenate([sketches[x] for x in (*left, *right)]), return_inverse=True)
-            rows = np.repeat(np.arange(len(left) + len(right)), [len(sketches[x]) for x in (*left, *right)])
-            often = np.bincount(codes, minlength=len(values)) > 1
-            codes, rows = (np.cumsum(often) - 1)[codes][often[codes]], rows[often[codes]]
-            shared = np.zeros((len(left), len(right)), np.float32)
-            order = np.argsort(codes, kind="stable")
-            codes, rows = codes[order], rows[order]
-            # Counts of shared values as products of incidence matrices, so many values at a time.
-            for low in range(0, int(often.sum()), VALUES):
-                part = slice(*np.searchsorted(codes, (low, low + VALUES)))
-                held = np.zeros((len(left) + len(right), VALUES), np.float32)
-                held[rows[part], codes[part] - low] = 1
-                shared += held[: len(left)] @ held[len(left) :].T
-            shared = shared.astype(np.int64)
-            na, nb = n[i : i + len(left), None], n[None, j : j + len(right)]
-            exact = np.maximum(na, nb) <= k
-            enough = np.where(exact, shared * (num + den) >= (na + nb) * num, shared >= np.minimum(-(-np.minimum(na, nb) * num // den), wanted))
-            enough &= (np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & (label[i : i + len(left), None] != label[None, j : j + len(right)])
-            for x, y in zip(*np.nonzero(enough), strict=True):
-                if i + x < j + y:
-                    p, q = find(int(label[i + x])), find(int(label[j + y]))
-                    if p != q and here(i + int(x), j + int(y)):
-                        if exact[x, y]:
-                            root[p] = q
-                        yield i + int(x), j + int(y)
+    for left_part, right_part in pairs:
+        i, j = left_part.start, right_part.start
+        values, codes = np.unique(np.concatenate([sketches[x] for x in (*left_part, *right_part)]), return_inverse=True)
+        rows = np.repeat(np.arange(len(left_part) + len(right_part)), [len(sketches[x]) for x in (*left_part, *right_part)])
+        often = np.bincount(codes, minlength=len(values)) > 1
+        codes, rows = (np.cumsum(often) - 1)[codes][often[codes]], rows[often[codes]]
+        shared = np.zeros((len(left_part), len(right_part)), np.float32)
+        order = np.argsort(codes, kind="stable")
+        codes, rows = codes[order], rows[order]
+        # Counts of shared values as products of incidence matrices, so many values at a time.
+        for low in range(0, int(often.sum()), VALUES):
+            part = slice(*np.searchsorted(codes, (low, low + VALUES)))
+            held = np.zeros((len(left_part) + len(right_part), VALUES), np.float32)
+            held[rows[part], codes[part] - low] = 1
+            shared += held[: len(left_part)] @ held[len(left_part) :].T
+        shared = shared.astype(np.int64)
+        na, nb = n[left_part, None], n[None, right_part]
+        exact = np.maximum(na, nb) <= k
+        enough = np.where(exact, shared * (num + den) >= (na + nb) * num, shared >= np.minimum(-(-np.minimum(na, nb) * num // den), wanted))
+        enough &= (np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & (label[left_part, None] != label[None, right_part])
+        for x, y in zip(*np.nonzero(enough), strict=True):
+            if i + x < j + y:
+                p, q = find(int(label[i + x])), find(int(label[j + y]))
+                if p != q and here(i + int(x), j + int(y)):
+                    if exact[x, y]:
+                        root[p] = q
+                    yield i + int(x), j + int(y)
 
 
 def meeting(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of (value, fp, n, label, sketch, own) that meet under a value and may be similar enough.
+    """Pairs (a, b) of (value, fp, n, label, sketch, own, members) that meet under a value and may be similar enough.
 
     own: the values that a node is listed under; a pair is looked at under the least that both
-    have, once. Null: under every value.
+    have, once. Null: under every value. A list of over BLOCK members is cut into blocks by a
+    hash of fp, and each two blocks are compared in a task of their own, so that no task holds
+    a long list.
     """
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    cut = rows.withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cut = cut.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            fps, n, labels, own, sketches = zip(*held, strict=True)
+            _, i, j = place
+            held.sort(key=lambda r: r[4])  # those of block i first
+            fps, n, labels, own, block, sketches = zip(*held, strict=True)
+            left = None if i == j else sum(b == i for b in block)
             own = [set(o) if o is not None else None for o in own]
-            here = lambda x, y: own[x] is None or own[y] is None or min(own[x] & own[y]) == value
-            pairs = [tuple(sorted((fps[x], fps[y]))) for x, y in compare(np.array(n), labels, sketches, k, num, den, here)]
+            here = lambda x, y: own[x] is None or own[y] is None or min(own[x] & own[y]) == place[0]
+            pairs = [tuple(sorted((fps[x], fps[y]))) for x, y in compare(np.array(n), labels, sketches, k, num, den, here, left)]
             return pa.RecordBatch.from_arrays([pa.array([p[c] for p in pairs], pa.binary()) for c in (0, 1)], names=["a", "b"])
 
-        value = None
+        place = None
         for batch in batches:
-            sketch = batch.column(4)
+            sketch = batch.column(8)
             offsets, flat = np.asarray(sketch.offsets), np.asarray(sketch.values)
-            for i, (v, *row) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 5)), strict=True)):
-                if v != value and held:
+            for r, (v, i, j, *row) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True)):
+                if (v, i, j) != place and held:
                     yield flush()
                     held = []
-                value = v
-                held.append((*row, flat[offsets[i] : offsets[i + 1]]))
+                place = v, i, j
+                held.append((*row, flat[offsets[r] : offsets[r + 1]]))
         if held:
             yield flush()
 
-    dealt = rows.select("value", "fp", "n", "label", "sketch", "own").repartition("value").sortWithinPartitions("value")
+    dealt = cut.select("value", "i", "j", "fp", "n", "label", "own", "block", "sketch").repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
@@ -269,7 +294,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, num: int
     o = least_shared(num / den, k)
     sets = scratch.save(sketches(docs, words, k), "sketches")
     by_fp = sets.where(F.col("fp").isNotNull()).groupBy("fp")
-    nodes = scratch.save(by_fp.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = scratch.save(by_fp.agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text_hash")).alias("pick"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
 
     # Sets of at most k shingles are their own sketch, and so is any set similar to one of at most small.
     small = k * num // den
@@ -279,7 +304,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, num: int
     listed = scratch.save(listing(values).select("value", "fp", "n", "place"), "lists")
     # At most k values a node; a pair is compared in the least list that both are in.
     shelves = scratch.save(listed.groupBy("fp").agg(F.collect_list("value").alias("own")), "shelves")
-    wanted = listed.select("fp").distinct().join(nodes, "fp").select("doc_id", "fp")
+    wanted = listed.select("fp").distinct().join(nodes, "fp").select("pick.doc_id", "pick.text_hash", "fp")
     full = scratch.save(full_sets(docs, wanted, words), "sets")
     rarest = F.row_number().over(W.partitionBy("fp").orderBy("place")) <= VOTES
     votes = listed.withColumn("rarest", rarest).where("rarest").select("value", "fp")
@@ -293,7 +318,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, num: int
         labels = scratch.save(connected_components(edges, scratch), "labels")
 
     def widely(rows: DataFrame, lists: DataFrame) -> DataFrame:
-        return rows.join(lists, "value", "left_semi").join(full.select("fp", F.slice("hashes", 1, WIDE).alias("sketch")), "fp").select("value", "fp", "n", "label", "sketch", "own")
+        return rows.join(lists, "value").join(full.select("fp", F.slice("hashes", 1, WIDE).alias("sketch")), "fp").select("value", "fp", "n", "label", "sketch", "own", "members")
 
     # Nodes of long lists that are still open are listed under their full sets' rarest shingles:
     # an exact filter, and one that shared lines and passages hardly pass.
@@ -311,7 +336,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, num: int
     named = named.join(shelves, "fp")
     middle = widely(named, still.where(F.col("members").between(SHORT + 1, LONG)))
     wide = middle if wide is None else wide.unionByName(middle)
-    short = named.join(still.where(F.col("members") <= SHORT), "value", "left_semi").join(nodes.select("fp", "sketch"), "fp")
+    short = named.join(still.where(F.col("members") <= SHORT), "value").join(nodes.select("fp", "sketch"), "fp")
     pairs = meeting(short, k, num, den).unionByName(meeting(wide, WIDE, num, den)).distinct()
     links = scratch.save(confirm(pairs, full, num, den), "links")
     labels = scratch.save(connected_components(edges.unionByName(links), scratch), "labels")
