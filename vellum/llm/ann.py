@@ -13,11 +13,11 @@ can be results, so others leave the index (exactly, by rank, before any shuffle
 Cells are dealt to shards of bounded size; a shard is read into memory and the queries that
 want any of its cells stream past, so no task holds more than SHARD vectors and one batch.
 
-Cases: vectors that are null, zero, of another length than most, or that hold null, NaN or
-infinite components take no part, neither as queries nor as candidates; ties go to the smaller
-vec_id; rows repeated with equal id and vector count once, rows of one id with different
-vectors are queries and candidates of their own; fewer candidates than k give fewer results;
-an empty table gives none; other columns are ignored.
+Cases: vectors that are null, zero, or that hold null, NaN or infinite components take no part,
+neither as queries nor as candidates; vectors of different lengths meet as if the shorter ones
+ended in zeros; ties go to the smaller vec_id; every row is a candidate of its own, so a
+repeated vec_id can come up more than once, and each of its rows is a query; fewer candidates
+than k give fewer results; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,13 +40,12 @@ RECALL, LEAST_DEPTH = 0.95, 1000
 
 
 def valid(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, v) of the vectors that take part, distinct."""
+    """(row, vec_id, v) of the vectors that take part; row tells rows apart once this is stored."""
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     rows = rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0))
-    most = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == (most["d"] if most else 0)).distinct()
+    return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -104,38 +103,34 @@ def fit_depth(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: int, recal
     return (found[min(len(found) - 1, int(np.ceil(recall * len(found))))] + 1) / n if len(found) else 1.0
 
 
-HITS = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("query_key", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
+HITS = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("query_row", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
 def search(vectors: DataFrame, scratch: Scratch, every: int = 20, k: int = 20, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose vec_id is divisible by `every`."""
     rows = scratch.save(valid(vectors), "vectors")
-    kept = rows.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1).drop("r")
+    kept = rows.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy("vec_id", "row"))).where(F.col("r") <= k + 1).drop("r")
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
     spark = vectors.sparkSession
     if not sample.num_rows:
+        scratch.drop(rows)
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = np.asarray(sample["v"].combine_chunks().flatten()).reshape(sample.num_rows, -1)
-    n, dim = rows.count(), x.shape[1]
+    n, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    x = padded(sample["v"].combine_chunks(), dim)
     half = (dim + 1) // 2
     size = int(min(MAX_K, len(x), 2 ** max(2, round(np.log2(np.sqrt(n) / 4)))))
-    x = np.concatenate([x, np.zeros((len(x), 1))], axis=1) if dim == 1 else x
     books = kmeans(x[:, :half], size), kmeans(x[:, half:], size)
     share = fit_depth(x, books, k, recall)
     shared = spark.sparkContext.broadcast(books)
 
-    def matrix(column: pa.Array) -> np.ndarray:
-        m = np.asarray(column.flatten()).reshape(len(column), dim)
-        return np.concatenate([m, np.zeros((len(m), 1))], axis=1) if dim == 1 else m
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                m = matrix(batch.column(1))
+                m = padded(batch.column(2), dim)
                 cell = nearest(m[:, :half], shared.value[0]) * size + nearest(m[:, half:], shared.value[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int64())], names=["vec_id", "v", "cell"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64())], names=["row", "vec_id", "v", "cell"])
 
-    index = scratch.save(kept.mapInArrow(encode, "vec_id long, v array<double>, cell long"), "index")
+    index = scratch.save(kept.mapInArrow(encode, "row long, vec_id long, v array<double>, cell long"), "index")
     # At most MAX_K ** 2 counts whatever the number of vectors.
     table = index.groupBy("cell").count().toArrow()
     counts = np.zeros(size * size, np.int64)
@@ -149,79 +144,98 @@ def search(vectors: DataFrame, scratch: Scratch, every: int = 20, k: int = 20, r
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, shards, split = plan.value
         for batch in batches:
-            cell = np.asarray(batch.column(2))
+            cell = np.asarray(batch.column(3))
             part = np.asarray(batch.column(0)) // 7 % split[cell]
-            yield _rows(shards[cell], part, np.zeros(len(cell), bool), batch.column(0), pa.array(cell), batch.column(1), pa.array([None] * len(cell), pa.list_(pa.int64())))
+            alone = pa.ListArray.from_arrays(pa.array(np.arange(len(cell) + 1, dtype=np.int32)), pa.array(cell))
+            yield _rows(shards[cell], part, np.zeros(len(cell), bool), batch.column(0), batch.column(1), batch.column(2), alone)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, shards, split = plan.value
         for batch in batches:
-            ids, keys, m = batch.column(0).to_pylist(), batch.column(1).to_pylist(), matrix(batch.column(2))
+            rows_, ids, m = batch.column(0).to_pylist(), batch.column(1).to_pylist(), padded(batch.column(2), dim)
             first, second = m[:, :half] @ shared.value[0].T, m[:, half:] @ shared.value[1].T
-            where, part, qid, qkey, row, cells = [], [], [], [], [], []
+            where, part, qrow, qid, at, cells = [], [], [], [], [], []
             for i in range(len(ids)):
                 found = np.sort(np.array(traverse(first[i], second[i], held, depth), np.int64))
                 for own in np.split(found, np.flatnonzero(np.diff(shards[found])) + 1):
                     for p in range(int(split[own].max())):
                         where.append(int(shards[own[0]]))
                         part.append(p)
+                        qrow.append(rows_[i])
                         qid.append(ids[i])
-                        qkey.append(keys[i])
-                        row.append(i)
+                        at.append(i)
                         cells.append(own[split[own] > p].tolist())
             if where:
-                yield _rows(np.array(where), np.array(part), np.ones(len(where), bool), pa.array(qid, pa.int64()), pa.array(qkey, pa.int64()), batch.column(2).take(pa.array(row)), pa.array(cells, pa.list_(pa.int64())))
+                yield _rows(np.array(where), np.array(part), np.ones(len(where), bool), pa.array(qrow, pa.int64()), pa.array(qid, pa.int64()), batch.column(2).take(pa.array(at)), pa.array(cells, pa.list_(pa.int64())))
 
-    dealt = "shard long, part long, asks boolean, id long, key long, v array<double>, cells array<long>"
+    dealt = "shard long, part long, asks boolean, row long, id long, v array<double>, cells array<long>"
     entries = index.mapInArrow(deal, dealt)
-    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", F.xxhash64("v").alias("key"), "v").mapInArrow(ask, dealt)
+    asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(ask, dealt)
     mixed = entries.unionByName(asked).repartition("shard", "part").sortWithinPartitions("shard", "part", "asks")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, ids, cell, m = None, None, None, None
+        current, pieces, shard = None, [], None
         for batch in batches:
             place = np.asarray(batch.column(0)) << 20 | np.asarray(batch.column(1))
             asks = np.asarray(batch.column(2))
             edges = np.concatenate([[0], np.flatnonzero((np.diff(place) != 0) | (np.diff(asks.astype(int)) != 0)) + 1, [len(place)]])
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 part = batch.slice(lo, hi - lo)
-                new = (np.asarray(part.column(3)), np.asarray(part.column(4)), matrix(part.column(5)))
                 if not asks[lo]:
-                    if current == place[lo]:
-                        ids, cell, m = (np.concatenate([a, b]) for a, b in zip((ids, cell, m), new, strict=True))
-                    else:
-                        current, (ids, cell, m) = place[lo], new
+                    if current != place[lo]:
+                        current, pieces, shard = place[lo], [], None
+                    pieces.append((np.asarray(part.column(3)), np.asarray(part.column(4)), np.asarray(part.column(6).flatten()), padded(part.column(5), dim)))
                 elif current == place[lo]:
-                    for i in range(0, hi - lo, 64):
-                        yield from _best(part.slice(i, 64), new[2][i : i + 64], ids, cell, m, k)
+                    if shard is None:
+                        # Entries in order of their cells, so that a cell is a range of rows.
+                        rows_, ids, cell, m = (np.concatenate(c) for c in zip(*pieces, strict=True))
+                        order, pieces = np.argsort(cell, kind="stable"), []
+                        shard = rows_[order], ids[order], cell[order], m[order]
+                    yield _best(part, padded(part.column(5), dim), *shard, k)
 
     hits = mixed.mapInArrow(rerank, HITS)
-    per = W.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(per)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    per = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    ranked = hits.withColumn("rank", F.row_number().over(per)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scratch.finish(ranked)
+
+
+def padded(vectors: pa.Array, dim: int) -> np.ndarray:
+    """[vector, component]; shorter vectors end in zeros, and there are two components at least."""
+    sizes = np.asarray(vectors.value_lengths()).astype(np.int64)
+    flat = np.asarray(vectors.flatten())
+    if dim > 1 and (sizes == dim).all():
+        return flat.reshape(len(vectors), dim)
+    out = np.zeros((len(vectors), max(2, dim)))
+    within = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(np.arange(len(vectors)), sizes), within] = flat
+    return out
 
 
 def _rows(*columns) -> pa.RecordBatch:
-    names = ["shard", "part", "asks", "id", "key", "v", "cells"]
+    names = ["shard", "part", "asks", "row", "id", "v", "cells"]
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
 
-def _best(part: pa.RecordBatch, q: np.ndarray, ids: np.ndarray, cell: np.ndarray, m: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """The k best entries of the shard for each query among the cells it asks for."""
-    query_ids, query_keys, wanted = (np.asarray(part.column(i)) if i < 6 else part.column(i).to_pylist() for i in (3, 4, 6))
-    rough = q @ m.T
+def _best(part: pa.RecordBatch, q: np.ndarray, rows: np.ndarray, ids: np.ndarray, cell: np.ndarray, m: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best entries of the shard for each query among those of the cells it asks for; no other entry is read."""
+    query_rows, query_ids, wanted = np.asarray(part.column(3)), np.asarray(part.column(4)), part.column(6)
     out: list[list] = [[], [], [], []]
     for r in range(len(query_ids)):
-        at = np.flatnonzero(np.isin(cell, wanted[r]) & ~((ids == query_ids[r]) & (rough[r] > 0) & (m == q[r]).all(axis=1)))
+        cells = np.asarray(wanted[r].values)
+        low, high = np.searchsorted(cell, cells), np.searchsorted(cell, cells, side="right")
+        sizes = high - low
+        at = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        at = at[rows[at] != query_rows[r]]
         if not len(at):
             continue
-        scores = rough[r, at]
+        scores = m[at] @ q[r]
         if len(at) > k:
             # A little below the k-th, since sums in another order differ in the last bits.
             at = at[scores >= np.partition(scores, len(at) - k)[len(at) - k] - 1e-9 * max(1.0, float(np.abs(scores).max()))]
         exact = (m[at] * q[r]).sum(axis=1)
         best = np.lexsort((ids[at], -exact))[:k]
         out[0] += [query_ids[r]] * len(best)
-        out[1] += [query_keys[r]] * len(best)
+        out[1] += [query_rows[r]] * len(best)
         out[2] += ids[at[best]].tolist()
         out[3] += exact[best].tolist()
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=HITS.names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=HITS.names)
