@@ -61,6 +61,56 @@ def test_forward_sums_all_segmentations():
     assert abs(exact - total("▁aab")) / exact < 1e-5
 
 
+def test_long_words_are_scored_whole():
+    trie = langid.Trie(("a", "ab", "b", "▁", "▁a", "ba"))
+    prob = np.array([[0.2, 0.1], [0.3, 0.2], [0.1, 0.3], [0.15, 0.1], [0.15, 0.1], [0.1, 0.2]])
+    word = "abbaababab" * 30
+    (_, codes), *_ = trie.words([word])
+    for k in range(2):
+        p = dict(zip(trie_pieces := ("a", "ab", "b", "▁", "▁a", "ba"), prob[:, k], strict=True))
+        text, at, logs = "▁" + word, [1.0], 0.0
+        for e in range(1, len(text) + 1):
+            at.append(at[e - 1] * langid.CHAR_FLOOR + sum(at[e - len(q)] * p[q] for q in trie_pieces if e >= len(q) and text[e - len(q) : e] == q))
+            logs, at = logs + np.log(at[e]), [x / at[e] for x in at]
+        assert abs(langid.log_total(trie, codes, prob)[0, k] - logs) < 1e-9 * abs(logs)
+
+
+def test_untypical_text_is_told(spark):
+    rnd = random.Random(5)
+    docs = frame(spark, [(i, " ".join(rnd.choice("the house and with this water there".split()) for _ in range(30)), "en") for i in range(80)] + [(900, "qzx vkj wqx zzq jxk vvq " * 20), (901, "qzx"), (902, None)])
+    out = {r.doc_id: r.typical for r in langid.predict(docs, langid.train(docs)).collect()}
+    assert all(out[i] for i in range(80)) and not out[900] and out[901] and not out[902]
+
+
+def brute_language(model, text):
+    """Posterior by a plain dynamic programme for each word."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    pieces = {p: k for k, p in enumerate(langid.read_pieces(langid.VOCABULARY))}
+    totals = []
+    for k, lang in enumerate(model.languages):
+        total = model.prior[k]
+        for w in words:
+            s, at = langid.MARK + w, [1.0]
+            for e in range(1, len(s) + 1):
+                at.append(at[e - 1] * langid.CHAR_FLOOR + sum(at[b] * model.prob[pieces[s[b:e]], k] for b in range(max(0, e - 20), e) if s[b:e] in pieces))
+            total += np.log(at[-1])
+        totals.append(total)
+    share = np.exp(np.array(totals) - max(totals))
+    return ("und", 0.0) if not words else (model.languages[int(np.argmax(totals))], float(max(share) / share.sum()))
+
+
+def test_language_query_matches_a_plain_programme(spark):
+    words = {"en": "the house and with this water", "fr": "le les maison avec leur eau", "de": "der und nicht wasser die das"}
+    rnd = random.Random(6)
+    mixed = [w for ws in words.values() for w in ws.split()]
+    docs = frame(spark, [*[(i, " ".join(rnd.choice(words[lang].split()) for _ in range(12)), lang) for i in range(60) for lang in [rnd.choice(list(words))]], *[(100 + i, " ".join(rnd.choice(mixed) for _ in range(rnd.randint(0, 4)))) for i in range(40)], (200, None), (201, "12!")])
+    model = langid.train(docs)
+    text = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for r in langid.predict(docs, model).collect():
+        lang, score = brute_language(model, text[r.doc_id])
+        assert abs(r.score - score) < 1e-6 and (r.lang_pred == lang or score < 0.5001)
+
+
 def test_language_id_learns_and_rejects(spark):
     words = {"en": "the house and with this water there", "fr": "le les maison avec leur être eau", "de": "der und nicht über straße wasser die"}
     rnd = random.Random(3)

@@ -9,9 +9,11 @@ Training is expectation maximisation on word counts of a bounded sample of label
 (about `max_docs` a language, chosen by a hash of doc_id): forward and backward passes give each
 piece's expected count. The vocabulary itself is taken as it is.
 
-Cases: a text that is null or has no letters is `und` with score 0; texts of any length are
-scored whole; words of over MAX_WORD letters are cut into runs of that length, scored one by
-one; equal scores go to the first language in order; without any labelled document all texts
+A document is typical of its language if its mean log-probability a letter is at least the
+lowest of the sample's documents of that language, less MARGIN; of under SHORT letters always.
+
+Cases: a text that is null or has no letters is `und` with score 0 and not typical; texts and
+words of any length are scored whole (only training cuts words, at MAX_WORD letters); equal scores go to the first language in order; without any labelled document all texts
 are `und`; repeated rows give repeated results; an empty table gives none; input columns that
 have the names of outputs are replaced.
 """
@@ -19,6 +21,7 @@ have the names of outputs are replaced.
 from __future__ import annotations
 
 import functools
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +39,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_DOCS = 1000
 MAX_WORD = 24
 ROUNDS = 3
+#: Letters below which a document's fit is not judged, and what it may fall below the sample's.
+SHORT, MARGIN = 40, 0.5
 #: Probability of a character by itself if no piece has it, and the weight of smoothing.
 CHAR_FLOOR, SMOOTHING = 1e-7, 0.1
 MARK = "▁"
@@ -48,6 +53,8 @@ def read_pieces(path: str) -> tuple[str, ...]:
     """The vocabulary's pieces of letters, lower case, with or without a leading word mark."""
     import sentencepiece
 
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no vocabulary at {path}: name a sentencepiece model that the driver can read")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i) for i in range(model.get_piece_size())}
     letters = lambda p: p.removeprefix(MARK)
@@ -95,8 +102,9 @@ class Trie:
         sizes = np.array([len(w) for w in words])
         for size in np.unique(sizes):
             where = np.flatnonzero(sizes == size)
-            for k in range(0, len(where), 20000):
-                part = where[k : k + 20000]
+            block = max(1, 500_000 // int(size))
+            for k in range(0, len(where), block):
+                part = where[k : k + block]
                 points = np.frombuffer("".join([words[i] for i in part]).encode("utf-32-le"), np.uint32).reshape(len(part), size)
                 codes = self.code[np.where(points < len(self.code), points, 0)]
                 yield part, np.concatenate([np.full((len(part), 1), self.chars[MARK], np.int32), codes], axis=1)
@@ -152,6 +160,33 @@ def forward(trie: Trie, codes: np.ndarray, prob: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def log_total(trie: Trie, codes: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """[words, languages]: the logarithm of the summed probability of all segmentations.
+
+    Sums of long words are scaled at each position, so that they do not vanish.
+    """
+    n, size = codes.shape
+    if size <= MAX_WORD:
+        return np.log(forward(trie, codes, prob)[-1])
+    alpha, logs, last = np.zeros((size + 1, n, prob.shape[1])), np.zeros((n, prob.shape[1])), 0
+    alpha[0] = 1.0
+
+    def settle(upto: int) -> None:
+        nonlocal last, logs
+        while last < upto:
+            last += 1
+            alpha[last] += alpha[last - 1] * CHAR_FLOOR
+            scale = alpha[last].copy()
+            alpha[last : last + trie.depth + 1] /= scale
+            logs += np.log(scale)
+
+    for s, e, rows, ids in trie.edges(codes):
+        settle(s)
+        alpha[e][rows] += alpha[s][rows] * prob[ids]
+    settle(size)
+    return logs
+
+
 def backward(trie: Trie, codes: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, list]:
     n, size = codes.shape
     edges = list(trie.edges(codes))
@@ -187,38 +222,38 @@ def fit(trie: Trie, words: list[str], counts: np.ndarray, rounds: int = ROUNDS)
 class Model:
     def __init__(self, trie: Trie, languages: list[str], prob: np.ndarray, prior: np.ndarray):
         self.trie, self.languages, self.prob, self.prior = trie, languages, prob, prior
+        #: The least fit of a typical document of each language.
+        self.floor: dict[str, float] = {}
 
     def words(self, words: list[str]) -> np.ndarray:
         """[words, languages] log-probabilities."""
         out = np.zeros((len(words), len(self.languages)))
-        cut, owner = [], []
-        for i, w in enumerate(words):
-            for k in range(0, len(w), MAX_WORD):
-                cut.append(w[k : k + MAX_WORD])
-                owner.append(i)
-        for part, codes in self.trie.words(cut):
-            np.add.at(out, np.array(owner)[part], np.log(forward(self.trie, codes, self.prob)[-1]))
+        for part, codes in self.trie.words(words):
+            out[part] = log_total(self.trie, codes, self.prob)
         return out
 
-    def score(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        """The language of each text and its share of the posterior."""
+    def score(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """The language of each text, its share of the posterior, its mean log-probability a letter, and the letters."""
         found, sizes = split_words(texts)
-        names, best = ["und"] * len(texts), np.zeros(len(texts))
+        names, best, fit, letters = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         if not len(found) or not self.languages:
-            return names, best
+            return names, best, fit, letters
         coded = found.dictionary_encode()
         log_p = self.words(coded.dictionary.to_pylist())
         codes = np.asarray(coded.indices)
         rows = np.flatnonzero(sizes)
         starts = np.concatenate([[0], np.cumsum(sizes[rows])[:-1]])
-        total = np.stack([np.add.reduceat(log_p[codes, k], starts) for k in range(log_p.shape[1])], axis=1) + self.prior
+        letters[rows] = np.add.reduceat(np.asarray(pc.utf8_length(coded.dictionary)).astype(np.int64)[codes], starts)
+        own = np.stack([np.add.reduceat(log_p[codes, k], starts) for k in range(log_p.shape[1])], axis=1)
+        total = own + self.prior
         share = np.exp(total - total.max(axis=1, keepdims=True))
         share /= share.sum(axis=1, keepdims=True)
         top = share.argmax(axis=1)
         best[rows] = np.minimum(share[np.arange(len(rows)), top], 1.0)
+        fit[rows] = own[np.arange(len(rows)), top] / letters[rows]
         for r, k in zip(rows, top, strict=True):
             names[r] = self.languages[k]
-        return names, best
+        return names, best, fit, letters
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -269,22 +304,29 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, max_docs: int = MAX_DOC
         columns.append(fit(trie, words, np.array(counts, float)))
     prior = np.log(np.array([n[x] for x in languages], float) / max(1, sum(n[x] for x in languages)))
     prob = np.stack(columns, axis=1) if columns else np.zeros((trie.n_pieces, 0))
-    return Model(trie, languages, prob, prior)
+    model = Model(trie, languages, prob, prior)
+    own = predict(texts, model, keep=("lang",)).where((F.col("lang_pred") == F.col("lang")) & (F.col("letters") >= SHORT))
+    model.floor = {r["lang"]: r["least"] - MARGIN for r in own.groupBy("lang").agg(F.min("fit").alias("least")).collect()} if languages else {}
+    return model
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """keep, lang_pred and score. The model's size is the vocabulary's times the languages', a few MB."""
-    kept = [c for c in keep if c not in ("lang_pred", "score")]
+    """keep, lang_pred, score, fit, letters and typical. The model's size is the vocabulary's times the languages', a few MB."""
+    own = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("fit", T.DoubleType()), T.StructField("letters", T.LongType()), T.StructField("typical", T.BooleanType())]
+    kept = [c for c in keep if c not in [f.name for f in own]]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     # A text that is kept is not sent twice.
     source = docs.select(*kept, *([] if text in kept else [F.col(text).cast("string").alias("_text")]))
     read = text if text in kept else "_text"
     place = source.columns.index(read)
-    schema = T.StructType([source.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*[source.schema[c] for c in kept], *own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floor = shared.value.floor
         for batch in slices(batches, read):
-            names, best = shared.value.score(batch.column(place))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + [pa.array(names, pa.string()), pa.array(best)], names=schema.names)
+            names, best, fit, letters = shared.value.score(batch.column(place))
+            typical = [n > 0 and (n < SHORT or f >= floor.get(name, -np.inf)) for name, f, n in zip(names, fit.tolist(), letters.tolist(), strict=True)]
+            columns = [pa.array(names, pa.string()), pa.array(best), pa.array(fit), pa.array(letters), pa.array(typical, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + columns, names=schema.names)
 
     return source.mapInArrow(run, schema)
