@@ -10,7 +10,9 @@ the best possible one; a document is contaminated by an item at a score of `thre
 
 Cases: null and empty texts and items have no seeds; items of fewer words than a seed have one
 seed, their whole word sequence; texts of any length are read whole, in passages; equal scores
-give the first passage; repeated documents give repeated rows, repeated items count once; an
+give the first passage; rows that repeat a doc_id (or have none) with equal text give one row,
+with different texts rows of their own; an item_id, or null, with several texts stands for the
+best of them; repeated items count once; an
 empty table on either side gives no contamination; other columns are ignored.
 """
 
@@ -24,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,16 +57,17 @@ def seeds(words: list[str], n: int = SEED) -> np.ndarray:
 
 
 def item_seeds(benchmark: DataFrame, n: int = SEED) -> DataFrame:
-    """(item_id, words, n_words, seeds) of the items that have words."""
+    """(item_id, item_key, words, n_words, seeds) of the items that have words; item_key tells texts of one id, or of none, apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             words = [words_of(t) for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array(words, pa.list_(pa.string())), pa.array([len(w) for w in words], pa.int32()), pa.array([seeds(w, n).tolist() for w in words], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["item_id", "words", "n_words", "seeds"])
+            keys = [hashlib.blake2b(f"{i} {' '.join(w)}".encode(), digest_size=16).digest() for i, w in zip(batch.column(0).to_pylist(), words, strict=True)]
+            columns = [batch.column(0), pa.array(keys, pa.binary()), pa.array(words, pa.list_(pa.string())), pa.array([len(w) for w in words], pa.int32()), pa.array([seeds(w, n).tolist() for w in words], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["item_id", "item_key", "words", "n_words", "seeds"])
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    return items.mapInArrow(run, "item_id long, words array<string>, n_words int, seeds array<long>").where("n_words > 0")
+    return items.mapInArrow(run, "item_id long, item_key binary, words array<string>, n_words int, seeds array<long>").where("n_words > 0")
 
 
 def _bitmap(items: DataFrame) -> np.ndarray:
@@ -89,6 +92,7 @@ def spaced_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 PASSAGES = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
+        T.StructField("text_hash", T.LongType()),
         T.StructField("passage_id", T.BinaryType()),
         T.StructField("first_word", T.LongType()),
         T.StructField("words", T.ArrayType(T.StringType())),
@@ -136,20 +140,26 @@ def passages(docs: DataFrame, bitmap: np.ndarray, reach: int, lengths: list[int]
             # A passage ends where the next place is too far off or in another document.
             new = np.flatnonzero((np.diff(where) > 2 * reach) | (np.diff(doc_of[where]) > 0)) + 1
             rows: dict[str, list] = {f.name: [] for f in PASSAGES}
-            ids = batch.column(0).to_pylist()
+            ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for part in np.split(np.arange(len(where)), new):
                 d = int(doc_of[where[part[0]]])
                 begin = int(ends[d] - counts[d])
                 low, high = max(begin, int(where[part[0]]) - reach), min(int(ends[d]), int(where[part[-1]]) + reach)
                 words = flat.slice(low, high - low).to_pylist()
                 rows["doc_id"].append(ids[d])
+                rows["text_hash"].append(hashes[d])
                 rows["passage_id"].append(hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest())
                 rows["first_word"].append(low - begin)
                 rows["words"].append(words)
                 rows["seeds"].append(sorted(set(found[part].tolist())))
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("doc_id", pa.int64()), ("passage_id", pa.binary()), ("first_word", pa.int64()), ("words", pa.list_(pa.string())), ("seeds", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("passage_id", pa.binary()), ("first_word", pa.int64()), ("words", pa.list_(pa.string())), ("seeds", pa.list_(pa.int64()))]))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PASSAGES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash(F.col("text"))).mapInArrow(run, PASSAGES)
+
+
+def text_hash(text: Column) -> Column:
+    """Tells documents of one doc_id, or of none, apart by their texts."""
+    return F.xxhash64(text.cast("string")).alias("text_hash")
 
 
 def align(passage: np.ndarray, item: np.ndarray) -> tuple[int, int]:
@@ -171,7 +181,7 @@ def align(passage: np.ndarray, item: np.ndarray) -> tuple[int, int]:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, n: int = SEED, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, score, n_passages): each document and item that meet, with the best alignment's score.
+    """(doc_id, text_hash, item_id, score, n_passages): each document and item that meet, with the best alignment's score.
 
     Rows below the threshold stay in, for inspection; `contaminated` tells them apart.
     """
@@ -180,9 +190,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, n: in
     lengths = sorted(r[0] for r in items.select(F.least("n_words", F.lit(n)).alias("m")).distinct().collect())
     found = scratch.save(passages(docs, _bitmap(items), reach, lengths), "passages")
     texts = scratch.save(found.select("passage_id", "words", "seeds").dropDuplicates(["passage_id"]), "texts")
-    by_seed = items.select("item_id", F.explode("seeds").alias("seed")).distinct()
-    pairs = texts.select("passage_id", F.explode("seeds").alias("seed")).join(by_seed, "seed").select("passage_id", "item_id").distinct()
-    joined = pairs.join(texts.select("passage_id", "words"), "passage_id").join(items.select("item_id", F.col("words").alias("item")).dropDuplicates(["item_id"]), "item_id")
+    by_seed = items.select("item_key", F.explode("seeds").alias("seed")).distinct()
+    pairs = texts.select("passage_id", F.explode("seeds").alias("seed")).join(by_seed, "seed").select("passage_id", "item_key").distinct()
+    joined = pairs.join(texts.select("passage_id", "words"), "passage_id").join(items.select("item_key", "item_id", F.col("words").alias("item")).dropDuplicates(["item_key"]), "item_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,6 +204,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, n: in
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["passage_id", "item_id", "score"])
 
     scored = joined.select("passage_id", "item_id", "words", "item").mapInArrow(run, "passage_id binary, item_id long, score double")
-    places = found.select("doc_id", "passage_id", "first_word").distinct()
-    best = places.join(scored, "passage_id").groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.count("*").alias("n_passages"))
+    places = found.select("doc_id", "text_hash", "passage_id", "first_word").distinct()
+    best = places.join(scored, "passage_id").groupBy("doc_id", "text_hash", "item_id").agg(F.max("score").alias("score"), F.count("*").alias("n_passages"))
     return scratch.finish(best.withColumn("contaminated", F.col("score") >= threshold))
