@@ -138,6 +138,11 @@ def _bytes(texts: pa.Array) -> list[bytes]:
     return [t or b"" for t in texts.cast(pa.large_string()).cast(pa.large_binary()).to_pylist()]
 
 
+def characters(text: bytes) -> int:
+    """Code points whose first byte is there."""
+    return int(np.count_nonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80))
+
+
 def twice(keys: np.ndarray) -> np.ndarray:
     """The distinct keys, those that occur more than once two times."""
     values, counts = np.unique(keys, return_counts=True)
@@ -145,15 +150,15 @@ def twice(keys: np.ndarray) -> np.ndarray:
 
 
 def keyed(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
-    """(doc_id, tk, n_bytes, keys): tk is the text's SHA-256, keys those of its half segments."""
+    """(doc_id, tk, n_bytes, n_chars, keys): tk is the text's SHA-256, keys those of its half segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts = _bytes(batch.column(1))
-            columns = [batch.column(0), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), lists([twice(halves(t, length, k)[0]) for t in texts])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tk", "n_bytes", "keys"])
+            columns = [batch.column(0), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([characters(t) for t in texts], pa.int64()), lists([twice(halves(t, length, k)[0]) for t in texts])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tk", "n_bytes", "n_chars", "keys"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, tk binary, n_bytes long, keys array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, tk binary, n_bytes long, n_chars long, keys array<long>")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -320,8 +325,8 @@ def cut(text: bytes, first: list[int], last: list[int], length: int) -> tuple[in
 
 
 def _removed(found: DataFrame, length: int, whole: bool) -> DataFrame:
-    """(tk, n_removed, n_spans, kept_sha256) and with whole=True the text that is left, from (tk, text, first, last)."""
-    schema = "tk binary, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if whole else "")
+    """(tk, n_removed, n_spans, kept_sha256, kept_chars) and with whole=True the text that is left, from (tk, text, first, last)."""
+    schema = "tk binary, n_removed long, n_spans long, kept_sha256 string, kept_chars long" + (", kept_text string" if whole else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -329,15 +334,18 @@ def _removed(found: DataFrame, length: int, whole: bool) -> DataFrame:
             rows = []
             for tk, text, first, last in zip(tks, _bytes(batch.column(1)), firsts, lasts, strict=True):
                 removed, spans, kept = cut(text, first, last, length)
-                rows.append((tk, removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
-            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string())[: 5 if whole else 4])]
-            yield pa.RecordBatch.from_arrays(columns, names=["tk", "n_removed", "n_spans", "kept_sha256", "kept_text"][: len(columns)])
+                rows.append((tk, removed, spans, hashlib.sha256(kept).hexdigest(), characters(kept), kept.decode("utf-8", "ignore") if whole else None))
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())[: 6 if whole else 5])]
+            yield pa.RecordBatch.from_arrays(columns, names=["tk", "n_removed", "n_spans", "kept_sha256", "kept_chars", "kept_text"][: len(columns)])
 
     return found.select("tk", "text", "first", "last").mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: int = K) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row per document."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_chars, repeats), one row per document.
+
+    kept_chars: the code points left, counted by their first bytes; repeats: whether any byte went.
+    """
     rows = scratch.save(keyed(docs, length, k), "keys")
     # One row a text: copies need no more keys than the first of them.
     texts = scratch.save(rows.groupBy("tk").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("text_copies"), F.first("keys").alias("keys")), "texts")
@@ -356,7 +364,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: i
     per = placed.distinct().groupBy("tk").agg(F.collect_list(F.struct("first", "last")).alias("r")).select("tk", F.col("r.first").alias("first"), F.col("r.last").alias("last"))
     hit = candidates.select("tk", "text").join(per, "tk")
     done = scratch.save(_removed(hit, length, False).dropDuplicates(["tk"]), "removed")
-    out = rows.select("doc_id", "tk", "n_bytes").join(texts.select("tk", "text_copies"), "tk").join(done, "tk", "left")
+    out = rows.select("doc_id", "tk", "n_bytes", "n_chars").join(texts.select("tk", "text_copies"), "tk").join(done, "tk", "left")
     copied = (F.col("text_copies") > 1) & (F.col("n_bytes") >= length)
     nothing = hashlib.sha256(b"").hexdigest()
     result = out.select(
@@ -365,5 +373,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: i
         F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copied, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copied, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("tk")))).alias("kept_sha256"),
+        F.when(copied, F.lit(0)).otherwise(F.coalesce("kept_chars", "n_chars")).cast("long").alias("kept_chars"),
+        (copied | (F.coalesce("n_removed", F.lit(0)) > 0)).alias("repeats"),
     )
     return scratch.finish(result)
