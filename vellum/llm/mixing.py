@@ -34,13 +34,14 @@ SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 
 
 def sized(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, source, size, h): what mixing needs of a document; the text is read once."""
+    """(doc_id, source, size, h, text_hash): what mixing needs of a document; the text is read once."""
     h = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
     return docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(source).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         h.alias("h"),
+        F.xxhash64(F.col(text).cast("string")).alias("text_hash"),
     )
 
 
@@ -113,28 +114,21 @@ def assign_positions(sizes: DataFrame, buckets: int = 4096, max_passes: int = 2,
     taken = parts[0]
     for p in parts[1:]:
         taken = taken + p
-    return rows.select("doc_id", "source", "size", "h", "source_size", "target", taken.cast("long").alias("taken"), occurrences.alias("occurrences"))
+    return rows.select("doc_id", "source", "size", "h", "text_hash", "source_size", "target", taken.cast("long").alias("taken"), occurrences.alias("occurrences"))
 
 
 def mix(docs: DataFrame, assigned: DataFrame, partitions: int | None = None) -> DataFrame:
     """The documents' occurrences with mix_pass, take_words and position, range-sorted by position.
 
-    Joins on doc_id and size; for repeated doc_ids of equal size the pairs are matched by rank.
+    Joins on doc_id, source and the text's hash; rows that agree in these are matched by rank.
     """
     own = ("mix_pass", "take_words", "position")
     docs = docs.drop(*[c for c in docs.columns if c in own or c.startswith("_mix")])
-    left = docs.withColumn("_mix_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    left = left.withColumn("_mix_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    left = left.withColumn("_mix_src", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")))
-    left = left.withColumn("_mix_tie", F.xxhash64("text"))
-    right = assigned.select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_mix_id"),
-        F.col("size").alias("_mix_size"),
-        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_mix_src"),
-        F.col("taken").alias("_mix_tie"),
-        "occurrences",
-    )
-    on = ["_mix_id", "_mix_size", "_mix_src"]
+    on = ["_mix_id", "_mix_text", "_mix_src"]
+    source = lambda c: F.coalesce(F.concat(F.lit("s"), c.cast("string")), F.lit("n"))
+    doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    left = docs.withColumns({"_mix_id": doc_id, "_mix_text": F.xxhash64(F.col("text").cast("string")), "_mix_src": source(F.col("source")), "_mix_tie": F.lit(0)})
+    right = assigned.select(doc_id.alias("_mix_id"), F.col("text_hash").alias("_mix_text"), source(F.col("source")).alias("_mix_src"), F.col("taken").alias("_mix_tie"), "occurrences")
     ranked = lambda df: df.withColumn("_mix_rank", F.row_number().over(W.partitionBy(*on).orderBy("_mix_tie")))
     both = ranked(left).join(ranked(right).drop("_mix_tie"), [*on, "_mix_rank"])
     out = both.select(*docs.columns, F.explode("occurrences").alias("_mix_o")).select(*docs.columns, "_mix_o.*")

@@ -290,11 +290,15 @@ def meeting(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, num: int = 80, den: int = 100, k: int = SKETCH) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per document."""
+    """(doc_id, n_shingles, component_id, kept, text_hash, stays), one row per document.
+
+    stays: whether this is the one document of its component that a filter keeps, the first by
+    doc_id (nulls last), then text_hash; rows of equal doc_id and text have it in common.
+    """
     o = least_shared(num / den, k)
     sets = scratch.save(sketches(docs, words, k), "sketches")
     by_fp = sets.where(F.col("fp").isNotNull()).groupBy("fp")
-    nodes = scratch.save(by_fp.agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text_hash")).alias("pick"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = scratch.save(by_fp.agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("pick"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
 
     # Sets of at most k shingles are their own sketch, and so is any set similar to one of at most small.
     small = k * num // den
@@ -341,9 +345,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, num: int
     links = scratch.save(confirm(pairs, full, num, den), "links")
     labels = scratch.save(connected_components(edges.unionByName(links), scratch), "labels")
 
-    final = nodes.select("fp", "doc_id").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    roots = final.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_node = final.join(roots, "label").select("fp", "component_id")
-    grouped = sets.where(F.col("fp").isNotNull()).join(of_node, "fp").select("doc_id", "n_shingles", "component_id")
-    alone = sets.where(F.col("fp").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return scratch.finish(grouped.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
+    final = nodes.select("fp", "pick").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    roots = final.groupBy("label").agg(F.min("pick").alias("head"))
+    of_node = final.join(roots, "label").select("fp", "head")
+    first = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))
+    grouped = sets.where(F.col("fp").isNotNull()).join(of_node, "fp").select("doc_id", "n_shingles", F.col("head.doc_id").alias("component_id"), "text_hash", first.alias("stays"))
+    alone = sets.where(F.col("fp").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash", F.lit(True).alias("stays"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return scratch.finish(grouped.unionByName(alone).select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_hash", "stays"))

@@ -39,7 +39,7 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 
 
 def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, item_id, score) of the contaminated documents."""
+    """(doc_id, item_id, score, n_passages) of the contaminated documents."""
     rows = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "decontaminate"))
     return rows.where("contaminated").select("doc_id", "item_id", "score", "n_passages")
 
