@@ -40,7 +40,7 @@ MAX_DOCS = 1000
 MAX_WORD = 24
 ROUNDS = 3
 #: Letters below which a document's fit is not judged, and what it may fall below the sample's.
-SHORT, MARGIN = 40, 0.5
+SHORT, MARGIN = 100, 0.5
 #: Probability of a character by itself if no piece has it, and the weight of smoothing.
 CHAR_FLOOR, SMOOTHING = 1e-7, 0.1
 MARK = "▁"
