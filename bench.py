@@ -5,6 +5,7 @@ import os
 import time
 
 from vellum import catalog
+from vellum.plans import rendered
 from vellum.plans.runtime import session
 
 HEADLINE = (
@@ -31,6 +32,11 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = session(f"local[{cpus}]", cpus)
     times = {}
+    # The corpus is rendered, parsed and stored once a session: a line of its own, not the first query's.
+    began = time.time()
+    for df in rendered.corpus(spark, sf_dir).values():
+        df.count()
+    times["parse_corpus"] = round(time.time() - began, 3)
     for name in HEADLINE:
         began = time.time()
         catalog.queries()[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
