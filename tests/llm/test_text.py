@@ -165,6 +165,33 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def brute_probability(weights, bias, host, path):
+    """The classifier gram by gram, in integers modulo 2**64."""
+    full = (1 << 64) - 1
+    slots = []
+    for text, kind in ((b"\x02" + host.encode() + b"\x03", 0), (b"\x04" + path.encode() + b"\x05", 1)):
+        for n in urls.SIZES:
+            for i in range(len(text) - n + 1):
+                h = n + 77 * kind
+                for c in text[i : i + n]:
+                    h = ((h ^ (c + 1)) * 0x100000001B3) & full
+                    h ^= h >> 29
+                slots.append(((h * 0x9E3779B97F4A7C15) & full) >> (64 - urls.BITS))
+    z = bias + sum(weights[s] for s in slots) / np.sqrt(len(slots)) if slots else bias
+    return 1 / (1 + np.exp(-z))
+
+
+def test_url_verdicts_match_plain_classifier(spark, monkeypatch):
+    sliced(monkeypatch, urls, 40)
+    hosts = [t.format(w, 3) for w in ("casino", "garden", "thrent", "pharma") for t, _ in urls.TEMPLATES] + ["", "é.example.net"]
+    given = [f"http://{h}/en/{i}?q" for i, h in enumerate(hosts)] + [None, "http://plain", "http://a.net/" + "long/" * 3000]
+    weights, bias = urls.fit()
+    for r in urls.judge(spark.createDataFrame(list(enumerate(given)), "page_id long, url string")).collect():
+        p = brute_probability(weights, bias, r.host, r.path)
+        assert abs(r.score - p) < 1e-9 and r.verdict == (brute_url(given[r.page_id])[3] or ("block" if p >= urls.CUT else "allow"))
+    assert urls.cross_validated() >= 0.9
+
+
 def test_smith_waterman_by_brute_force():
     rnd = random.Random(5)
     for _ in range(50):

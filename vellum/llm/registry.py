@@ -63,7 +63,21 @@ FROM p LEFT JOIN o USING (payload_digest)"""
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "neardup"), words=3, num=85, den=100)
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "neardup"), words=3, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: All pairs that share a shingle, and the documents that can be reached through links.
+OP6_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, unnest(CASE WHEN len(w) >= 3 THEN [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT x, y FROM p JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+both_ways AS MATERIALIZED (SELECT x AS a, y AS b FROM e UNION ALL SELECT y, x FROM e),
+walk AS (SELECT DISTINCT a, a AS b FROM both_ways UNION SELECT walk.a, both_ways.b FROM walk JOIN both_ways ON walk.b = both_ways.a),
+least AS (SELECT a, min(doc_id) AS m FROM walk JOIN d ON d.r = walk.b GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(m, doc_id) AS component_id, coalesce(doc_id = coalesce(m, doc_id), false) AS kept FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN least ON least.a = d.r"""
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +113,29 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def _op10_sql() -> str:
+    """Words stand between double spaces, so that a match may take one at either end; places follow from the spaces before."""
+    double = lambda regex: regex.replace(" ?", "(?:_)?").replace(" ", "_").replace("_", "  ")
+    rows = []
+    for order, label, keyword, regex, priority in licenses.rules():
+        inner = regex.removeprefix("(?<= )").removesuffix("(?= )")
+        rows.append(f"({order}, '{label}', '{double(keyword)}', ' {double(inner)} ', {priority})")
+    base = ", ".join(f"({-i}, '{label}', ' {double(phrase)} ', ' {double(phrase)} ', 0)" for i, (phrase, label) in enumerate(licenses.BASE, 1))
+    spaces = lambda x: f"(length({x}) - length(replace({x}, ' ', '')))"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT r, doc_id, len(w)::BIGINT AS n_words, '  ' || array_to_string(w, '  ') || '  ' AS t FROM d),
+rules(ord, label, keyword, pattern, priority) AS (VALUES {base}, {", ".join(rows)}),
+m AS (SELECT r, ord, label, priority, regexp_extract_all(t, pattern) AS a, string_split_regex(t, pattern) AS p FROM t JOIN rules ON contains(t, keyword)),
+u AS (SELECT r, ord, label, priority, a, p, unnest(range(1, len(a) + 1)) AS i FROM m),
+f AS MATERIALIZED (SELECT r, ord, label, priority, (list_sum([{spaces("x")} for x in p[1:i]]) + coalesce(list_sum([{spaces("x")} for x in a[1:i-1]]), 0) - 1) // 2 AS b, {spaces("a[i]")} // 2 AS n FROM u),
+g AS (SELECT r, ord, label, priority, b::BIGINT AS b, (b + n)::BIGINT AS e FROM f),
+kept AS (SELECT * FROM g x WHERE ord >= 0 AND NOT EXISTS (SELECT 1 FROM g y WHERE y.r = x.r AND y.ord >= 0 AND y.b <= x.b AND y.e >= x.e AND (y.priority < x.priority OR y.priority = x.priority AND (y.e - y.b > x.e - x.b OR y.b = x.b AND y.e = x.e AND y.ord < x.ord)))),
+z AS (SELECT r, label, 3 AS priority, b, true AS base FROM g WHERE ord < 0 UNION ALL SELECT r, label, priority, b, false FROM kept),
+o AS (SELECT r, count(*) FILTER (base) AS n_base, min(b) FILTER (base) AS first_word, max(b) FILTER (base) AS last_word, array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, (7 - min(priority)) / 6.0::DOUBLE AS score FROM z GROUP BY r)
+SELECT doc_id, n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM t LEFT JOIN o USING (r)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_neighbours": op1_neighbours,
@@ -115,4 +152,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": _op2_sql(), "op5_warc": OP5_SQL, "op9_mixing": OP9_SQL}
+    return {"op2_secrets": _op2_sql(), "op5_warc": OP5_SQL, "op6_near_duplicates": OP6_SQL, "op9_mixing": OP9_SQL, "op10_licenses": _op10_sql()}
