@@ -54,8 +54,9 @@ SHORT, LONG = 32, 8192
 WIDE = 256
 #: A node's rarest lists, whose heads it may be compared with first.
 VOTES = 8
-#: Members of a list that one task compares with one another, or with as many others.
-BLOCK = 512
+#: Members of a list that one task compares with one another, or with as many others. Smaller
+#: blocks send each row to more tasks; this one keeps lists of up to LONG whole.
+BLOCK = 8192
 #: Columns of an incidence matrix in the comparison of a block of nodes; it bounds its memory.
 VALUES = 4096
 
