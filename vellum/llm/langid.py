@@ -102,7 +102,7 @@ class Trie:
         sizes = np.array([len(w) for w in words])
         for size in np.unique(sizes):
             where = np.flatnonzero(sizes == size)
-            block = max(1, 500_000 // int(size))
+            block = max(1, min(20_000, 300_000 // int(size)))
             for k in range(0, len(where), block):
                 part = where[k : k + block]
                 points = np.frombuffer("".join([words[i] for i in part]).encode("utf-32-le"), np.uint32).reshape(len(part), size)

@@ -153,7 +153,7 @@ def masked(doc: bytes, spans: list[tuple[int, int, int]], mark: bytes = b"[SECRE
     return b"".join([*out, doc[at:]]).decode()
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes of text, or one row.
 
     A part of a batch is copied, so that its arrays begin at their buffers' start: pyarrow's
@@ -167,6 +167,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
         while start < n:
             stop = max(start + 1, int(np.searchsorted(total, total[start] + limit, side="right")) - 1)
             yield batch if stop - start == n else batch.take(pa.array(np.arange(start, stop)))
+            # What the slice's arrays took goes back to the machine, not into the pool's reserve.
+            pa.default_memory_pool().release_unused()
             start = stop
 
 
