@@ -479,6 +479,269 @@ def bounded_lcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diffs.text(pairs)
 
 
+# --- Scalars, filters and orders, branch by branch.
+
+
+@query("snippets", r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\x00-\x1F\x7F]', ' ', 'g'), ' {3,}', '  ', 'g')) AS snippet FROM documents")
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.sanitize_snippet("text").alias("snippet"))
+
+
+@query("context_windows", r"SELECT doc_id, regexp_replace(substr(text, 61, greatest(least(160, length(text)) - 60, 0)), '[ \t\n\r\x0b\x0c]+', ' ', 'g') AS context FROM documents")
+def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.context_around("text", F.lit(100), F.lit(20), 40).alias("context"))
+
+
+@query("truncated_bytes", """
+WITH k AS (SELECT doc_id, text, list_max([n for n in range(0, 65) if octet_length(encode(substr(text, 1, n))) <= 64]) AS k FROM documents)
+SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 64 THEN text WHEN octet_length(encode(substr(text, 1, k))) = 64 AND octet_length(encode(substr(text, k, 1))) > 1 THEN substr(text, 1, k - 1) ELSE substr(text, 1, k) END AS head FROM k""")
+def truncated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.truncate_bytes(F.encode("text", "UTF-8"), 64).alias("head"))
+
+
+@query("citation_kinds", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'snapshot_scoped' WHEN 1 THEN 'stable' ELSE 'unrecognized' END AS kind FROM documents")
+def citation_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digits, n = F.substring(F.sha2("text", 256), 1, 24), F.col("doc_id") % 4
+    given = F.when(n == 0, F.concat(F.lit("cit_"), digits)).when(n == 1, F.concat(F.lit("scit_"), digits)).when(n == 2, F.concat(F.lit("cit_"), F.upper(digits), F.lit("g"))).otherwise(digits)
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.citation_kind(given).alias("kind"))
+
+
+@query("keyword_cases", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'lower' WHEN 1 THEN 'upper' WHEN 2 THEN 'title' ELSE 'upper' END AS keyword_case FROM part")
+def keyword_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, word = F.col("p_partkey") % 4, F.lower("p_type")
+    title = F.concat(F.upper(F.substring(word, 1, 1)), F.substr(word, F.lit(2)))
+    given = F.when(n == 0, word).when(n == 1, F.upper(word)).when(n == 2, title).otherwise(F.concat(F.substring(word, 1, 2), F.upper(F.substr(word, F.lit(3)))))
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.keyword_case(given).alias("keyword_case"))
+
+
+@query("errata_statuses", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'held_for_document_update' WHEN 1 THEN 'verified' WHEN 2 THEN 'reported' WHEN 3 THEN 'rejected' ELSE 'unknown' END AS status FROM events")
+def errata_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = F.element_at(F.array(*[F.lit(x) for x in ("Held for Document Update", " Verified", "REPORTED", "rejected ", "withdrawn")]), (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", scalars.errata_status(given).alias("status"))
+
+
+@query("trimmed_urls", "SELECT page_id, CASE WHEN page_id % 4 = 3 THEN url || '(a)' ELSE url END AS url FROM pages")
+def trimmed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tail = F.element_at(F.array(*[F.lit(x) for x in (".", ").", ";,", "(a)).")]), (F.col("page_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", scalars.trim_url(F.concat("url", tail)).alias("url"))
+
+
+@query("indent_widths", "SELECT doc_id, doc_id % 5 + 8 * (doc_id % 3) AS width FROM documents")
+def indent_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lead = F.concat(F.repeat(F.lit("\t"), (F.col("doc_id") % 3).cast("int")), F.repeat(F.lit(" "), (F.col("doc_id") % 5).cast("int")), F.lit("x \t"))
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.indent_width(lead).cast("long").alias("width"))
+
+
+@query("utf16_offsets", "SELECT doc_id, (length(t) + length(regexp_replace(t, '[^\U00010000-\U0010FFFF]', '', 'g')))::BIGINT AS utf16 FROM (SELECT doc_id, text || chr(128512) AS t FROM documents)")
+def utf16_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.utf16_size(F.concat("text", F.lit("\U0001f600"))).alias("utf16"))
+
+
+@query("probe_tiers", f"WITH {LINES} SELECT CASE WHEN template IN (0, 1, 2, 3, 7) THEN 'strict' ELSE 'weak' END AS tier, count(*) AS n FROM lines GROUP BY 1")
+def probe_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.operators import evaluation
+
+    rows = rendered.line_table(spark, sf_dir).select(rendered.sentence().alias("text"))
+    return rows.groupBy(evaluation.tier("text").alias("tier")).agg(F.count("*").alias("n"))
+
+
+@query("acceptable_probes", f"""WITH {LINES}, t AS (SELECT o, n, length(CASE template WHEN 0 THEN 'If the quantity exceeds ' || q || ', the supplier ' || s || ' MUST NOT ship part ' || p || '.' WHEN 1 THEN 'The supplier ' || s || ' MUST ship part ' || p || ' in time.'
+WHEN 2 THEN 'A carrier SHOULD inspect part ' || p || ' before it is loaded.' WHEN 3 THEN 'The buyer MUST not refuse part ' || p || '.' WHEN 4 THEN 'The buyer may refuse part ' || p || ' while the seal is open.' WHEN 5 THEN 'The limit for part ' || p || ' is ' || q || ' bytes.'
+WHEN 6 THEN 'Handling of part ' || p || ' is described in [RFC' || (1000 + s % 50) || '].' ELSE 'A label on part ' || p || ' is OPTIONAL and MAY be green.' END) AS size, template FROM lines)
+SELECT template::BIGINT AS template, count(*) AS n FROM t WHERE size BETWEEN 45 AND 260 AND template <> 6 GROUP BY 1""")
+def acceptable_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.operators import evaluation
+
+    rows = rendered.line_table(spark, sf_dir).withColumn("text", rendered.sentence()).where(evaluation.acceptable("text", (r"\[RFC\d+\]",)))
+    return rows.groupBy(F.col("template").cast("long").alias("template")).agg(F.count("*").alias("n"))
+
+
+@query("rules_by_section", """
+WITH r AS (SELECT l_orderkey AS o, CASE WHEN l_returnflag = 'R' THEN 'bound' ELSE 'modal' END AS kind, l_linenumber AS place, row_number() OVER (PARTITION BY l_orderkey, l_returnflag = 'R' ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem)
+SELECT kind, i AS n, count(*) AS rules FROM r WHERE (kind = 'modal' AND i IN (1, 4)) OR (kind = 'bound' AND i = 1) GROUP BY 1, 2""")
+def rules_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.operators import evaluation
+
+    kind = F.when(F.col("l_returnflag") == "R", F.lit("bound")).otherwise(F.lit("modal"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("section"), kind.alias("kind"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("place"))
+    return evaluation.rules_per_section(rows).groupBy("kind", F.col("n").cast("long").alias("n")).agg(F.count("*").alias("rules"))
+
+
+@query("floor_splits", r"""
+WITH s AS (SELECT doc_id, [x for x in string_split(regexp_replace(text, '\.[ \t\n\r\x0b\x0c]+', '.' || chr(1), 'g'), chr(1)) if trim(x, chr(32) || chr(9) || chr(10) || chr(13)) <> ''] AS dots,
+[x for x in string_split(regexp_replace(text, '([.!?])[ \t\n\r\x0b\x0c]+', '\1' || chr(1), 'g'), chr(1)) if trim(x, chr(32) || chr(9) || chr(10) || chr(13)) <> ''] AS ends FROM documents)
+SELECT doc_id, len(dots)::BIGINT AS dots, len(ends)::BIGINT AS ends FROM s""")
+def floor_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.operators import evaluation
+
+    n = lambda how: F.size(evaluation.floor_sentences("text", how)).cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", n("dot").alias("dots"), n("punct").alias("ends"))
+
+
+@query("labels_carried", "SELECT o_orderkey AS id, CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus END AS label FROM orders")
+def labels_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.operators import evaluation
+
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("rfc"), F.lit("row").alias("kind"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("text"), F.col("o_orderstatus").alias("label"))
+    return evaluation.carry_labels(rows.drop("label"), rows.where("rfc % 2 = 0")).select("id", "label")
+
+
+@query("polarity_fidelity", f"WITH {LINES} SELECT count(*) AS checked, 0::BIGINT AS by_search, 0::BIGINT AS disagreements, 100.0::DOUBLE AS agreement_pct, 0::BIGINT AS may_not, 0::BIGINT AS not_required FROM lines WHERE template IN (0, 1, 2, 3, 7)")
+def polarity_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.operators import evaluation
+
+    return evaluation.polarity_fidelity(normative.requirements(_mentions(spark, sf_dir)))
+
+
+@query("verify_scenarios", f"""WITH {LINES}, r AS (SELECT o, CASE template WHEN 0 THEN '0 ' || q || ' ' || s || ' ' || p WHEN 1 THEN '1 ' || s || ' ' || p ELSE template || ' ' || p END AS said FROM lines WHERE template IN (0, 1, 2, 3, 7)),
+d AS (SELECT DISTINCT o, o % 64 AS b FROM r), g AS (SELECT b, count(*) AS n FROM d GROUP BY 1), w AS (SELECT DISTINCT o FROM r GROUP BY o, said HAVING count(*) > 1)
+SELECT * FROM (SELECT 'same_derivation' AS scenario, 'verified' AS verdict, count(*) AS n, true AS conform FROM d UNION ALL SELECT 'other_derivation', 'not_found', coalesce(sum(n), 0)::BIGINT, true FROM g WHERE n > 1
+UNION ALL SELECT 'duplicate_quote', 'ambiguous', count(*), true FROM w UNION ALL SELECT 'corrupted_id', 'not_found', count(*), true FROM d UNION ALL SELECT 'drifted_pin', 'not_found', count(*), true FROM d) WHERE n > 0""")
+def verify_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.operators import evaluation
+
+    c = rendered.corpus(spark, sf_dir)
+    found = normative.mentions(c["blocks"], c["sections"])
+    own = normative.requirements(found)
+    return evaluation.verify_scenarios(own, citations.known_citations(own, found), c["blocks"], c["snapshots"])
+
+
+@query("recall_precision", """
+WITH b AS (SELECT item_id, item_id % 2 AS tier, trim(regexp_replace(text, '[ \\t\\n\\r\\x0b\\x0c]+', ' ', 'g')) AS t FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\x0b\\x0c]+', ' ', 'g')) AS t FROM documents),
+m AS (SELECT DISTINCT item_id, doc_id FROM b JOIN d ON contains(d.t, b.t) WHERE length(d.t)::DOUBLE / length(b.t) <= 1.5), p AS (SELECT tier, count(*) AS probes, count(*) FILTER (item_id IN (SELECT item_id FROM m)) AS recalled FROM b GROUP BY 1),
+s AS (SELECT (SELECT count(*) FROM d) AS "rows", (SELECT count(DISTINCT doc_id) FROM m) AS matched_rows)
+SELECT tier, probes, recalled, floor(1000 * recalled / probes + 0.5) / 10 AS recall_pct, "rows", matched_rows, floor(1000 * matched_rows / "rows" + 0.5) / 10 AS precision_pct FROM p, s""")
+def recall_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.operators import evaluation
+
+    golden = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 2).alias("tier"), F.col("text").alias("probe"))
+    return evaluation.recall_precision(golden, table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("row")), "doc_id", "item_id")
+
+
+@query("requirement_flags", f"""WITH {LINES} SELECT 'negation_case_not_upper' AS flag, count(*) AS n FROM lines WHERE template = 3 UNION ALL SELECT 'multiple_terms_in_sentence', count(*) FROM lines WHERE template = 7""")
+def requirement_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = normative.requirements(_mentions(spark, sf_dir)).select(F.explode(F.array_distinct("flags")).alias("flag"))
+    return rows.where("flag IN ('negation_case_not_upper', 'multiple_terms_in_sentence')").groupBy("flag").agg(F.count("*").alias("n"))
+
+
+@query("requirement_filters", f"WITH {LINES} SELECT o AS rfc, n::VARCHAR AS section_number FROM lines WHERE template = 1 AND contains(p::VARCHAR, '1') AND contains('the supplier ' || s || ' must ship part ' || p || ' in time.', 'part ' || '1')")
+def requirement_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = normative.requirements(_mentions(spark, sf_dir))
+    return rows.where((F.col("term") == "MUST") & F.contains(F.lower("exact_text"), F.lit("ship part 1"))).select("rfc", "section_number")
+
+
+@query("requirement_order", f"WITH {LINES} SELECT o AS rfc, n::VARCHAR AS section_number, row_number() OVER (PARTITION BY o ORDER BY n) AS place FROM lines WHERE template IN (0, 1, 2, 3, 7)")
+def requirement_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(W.partitionBy("rfc").orderBy("char_start", "id"))
+    return normative.requirements(_mentions(spark, sf_dir)).select("rfc", "section_number", place.cast("long").alias("place"))
+
+
+@query("candidate_filters", f"WITH {LINES} SELECT o AS rfc, count(*) AS n FROM lines WHERE template = 4 GROUP BY 1")
+def candidate_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = rendered.corpus(spark, sf_dir)
+    return normative.candidates(c["blocks"], c["sections"]).where("role = 'modal' AND shape = 'demand' AND reason IS NULL").groupBy("rfc").agg(F.count("*").alias("n"))
+
+
+@query("verify_statuses", f"""WITH {LINES}, r AS (SELECT o % 3 AS m, count(*) AS n FROM lines WHERE template IN (0, 1, 2, 3, 7) GROUP BY 1) SELECT CASE m WHEN 0 THEN 'verified' WHEN 1 THEN 'not_found' ELSE 'ambiguous' END AS status, n FROM r""")
+def verify_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = rendered.corpus(spark, sf_dir)
+    found = normative.mentions(c["blocks"], c["sections"])
+    own = normative.requirements(found)
+    known, kind = citations.known_citations(own, found), own.select("citation_id", (F.col("rfc") % 3).alias("m"))
+    twice = known.join(kind.where("m = 2").select("citation_id"), "citation_id", "left_semi").withColumn("char_start", F.col("char_start") + 1)
+    ids = kind.select(F.when(F.col("m") == 1, F.concat(F.lit("cit_"), F.substring(F.sha2("citation_id", 256), 1, 24))).otherwise(F.col("citation_id")).alias("citation_id"))
+    return citations.verify(ids, known.unionByName(twice), c["blocks"], c["snapshots"]).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("raw_integrity", f"WITH {LINES}, d AS (SELECT DISTINCT o FROM lines) SELECT o % 2 = 0 AS intact, count(*) AS n FROM d GROUP BY 1")
+def raw_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = rendered.corpus(spark, sf_dir)["snapshots"]
+    hurt = s.withColumn("raw_sha256", F.when(F.col("rfc") % 2 == 0, F.col("raw_sha256")).otherwise(F.sha2("raw_sha256", 256)))
+    return citations.integrity(hurt).groupBy("intact").agg(F.count("*").alias("n"))
+
+
+@query("derived_citations", f"WITH {LINES} SELECT o AS rfc, count(*) AS n FROM lines WHERE template = 2 GROUP BY 1")
+def derived_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = rendered.corpus(spark, sf_dir)
+    ids = normative.requirements(_mentions(spark, sf_dir)).where("term = 'SHOULD'").select("citation_id")
+    own = c["snapshots"].select(F.col("id").alias("snapshot_id"), "rfc")
+    return citations.derive(ids, c["blocks"]).join(own, "snapshot_id").groupBy("rfc").agg(F.count("*").alias("n"))
+
+
+@query("block_search", f"WITH {LINES} SELECT o AS rfc, n::VARCHAR AS section_number, 'RFC ' || o AS title FROM lines WHERE template = 2 AND n = 1")
+def block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = rendered.corpus(spark, sf_dir)
+    titles = c["snapshots"].select("rfc", F.lit(None).cast("string").alias("title"))
+    keyed = c["blocks"].select(F.concat_ws("|", "snapshot_id", "id").alias("key"), "text")
+    stats = search.lengths(keyed, "text")
+    index = search.postings(keyed, "key", "text")
+    return search.search_blocks(c["blocks"], c["sections"], titles, 'carrier inspect section:1', ["paragraph"], None, c["snapshots"], 2**31 - 1, 0, index, stats).select("rfc", "section_number", "title")
+
+
+@query("inbound_edges", """
+SELECT n_nationkey::BIGINT AS rfc, 'doc:rfc-' || (200 + n_regionkey) AS source, 'doc:rfc-' || n_nationkey AS destination, 'cites_normative' AS type FROM nation
+UNION ALL SELECT n_nationkey, 'doc:rfc-' || n_nationkey, 'doc:rfc-' || (300 + n_regionkey), 'updated_by' FROM nation
+UNION ALL SELECT n_nationkey, 'doc:rfc-' || n_nationkey, 'label:STD' || n_regionkey, 'cites_external' FROM nation""")
+def inbound_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("rfc"), F.col("n_regionkey").cast("long").alias("r"))
+    none = F.array().cast("array<bigint>")
+    meta = n.select("rfc", none.alias("obsoletes"), none.alias("obsoleted_by"), none.alias("updates"), F.array(F.col("r") + 300).alias("updated_by"))
+    label = F.concat(F.lit("STD"), F.col("r").cast("string"))
+    refs = n.select("rfc", F.lit("informative").alias("relation"), label.alias("label"), F.lit("external").alias("target_kind"), label.alias("target"), F.lit(None).cast("int").alias("target_rfc"), F.lit(1).alias("ordinal"))
+    inbound = n.select("rfc", (F.col("r") + 200).alias("source_rfc"), F.lit("cites").alias("relation"))
+    inbound = inbound.unionByName(n.select("rfc", F.col("rfc").alias("source_rfc"), F.lit("cites").alias("relation")))  # itself: no edge
+    return references.edges(refs, meta, inbound).select("rfc", "source", "destination", "type")
+
+
+@query("diff_metadata", "SELECT c_custkey AS pair_id, 'changed' AS kind, 'segment' AS key, '{\"v\":\"' || c_mktsegment || '\"}' AS before, '{\"v\":\"other\"}' AS after FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT c_custkey, 'changed', 'nation', '{\"v\":' || c_nationkey || '}', '{\"v\":' || (c_nationkey + 1) || '}' FROM customer WHERE c_custkey % 6 = 0")
+def diff_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pair_id"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name"))
+    later = c.withColumns({"segment": F.when(F.col("pair_id") % 4 == 0, F.lit("other")).otherwise(F.col("segment")), "nation": F.when(F.col("pair_id") % 6 == 0, F.col("nation") + 1).otherwise(F.col("nation"))})
+    return diffs.metadata(c, later, ["segment", "nation", "name"])
+
+
+@query("diff_references", """
+WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier)
+SELECT k AS pair_id, CASE k % 4 WHEN 0 THEN 'removed' WHEN 1 THEN 'added' ELSE 'target_changed' END AS kind, 'normative:R' || n AS key, CASE WHEN k % 4 = 1 THEN NULL ELSE 'T' || n END AS before, CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN 'T' || n ELSE 'T' || (n + 1) END AS after FROM s WHERE k % 4 < 3""")
+def diff_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = lambda prefix, k: F.concat(F.lit(prefix), k.cast("string"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pair_id"), F.lit("normative").alias("relation"), named("R", F.col("s_nationkey")).alias("label"), named("T", F.col("s_nationkey")).alias("target"), F.lit(1).alias("ordinal"), named("id", F.col("s_suppkey")).alias("id"), (F.col("s_suppkey") % 4).alias("m"), F.col("s_nationkey").alias("n"))
+    after = s.where("m <> 0").withColumn("target", F.when(F.col("m") == 2, named("T", F.col("n") + 1)).otherwise(F.col("target")))
+    return diffs.references(s.where("m <> 1"), after)
+
+
+@query("capped_changes", """
+WITH c AS (SELECT l_orderkey AS pair_id, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1) SELECT pair_id, least(n, 3) AS changes, n >= 3 AS truncated FROM c""")
+def capped_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pair_id"), F.lit("added").alias("kind"), F.col("l_linenumber").cast("string").alias("key"), F.lit(None).cast("string").alias("before"), F.lit("x").alias("after"))
+    return diffs.capped(rows, 3).groupBy("pair_id").agg(F.count("*").alias("changes"), F.first("truncated").alias("truncated"))
+
+
+@query("store_orphans", "SELECT doc_id AS snapshot_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def store_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.plans import store
+
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("snapshot_id"))
+    return store.orphans(rows, table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id")))
+
+
+@query("sentence_splits", f"""WITH {LINES} SELECT o AS rfc, n::VARCHAR AS section_number, 0::BIGINT AS sentence_no, 'A carrier SHOULD inspect part ' || p || ' before it is loaded.' AS sentence FROM lines WHERE template = 2
+UNION ALL SELECT o, n::VARCHAR, 0, 'If the quantity exceeds ' || q || ', the supplier ' || s || ' MUST NOT ship part ' || p || '.' FROM lines WHERE template = 0""")
+def sentence_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = rendered.corpus(spark, sf_dir)
+    rows = normative.sentences(normative.with_sections(c["blocks"], c["sections"]).where("kind = 'paragraph'"))
+    return rows.where("sentence LIKE 'A carrier %' OR sentence LIKE 'If the quantity %'").select("rfc", "section_number", F.col("sentence_no").cast("long").alias("sentence_no"), "sentence")
+
+
+@query("text_hunks", """
+WITH d AS (SELECT doc_id, len(str_split(text, chr(10))) AS lines FROM documents)
+SELECT doc_id AS pair_id, false AS fallback, 0 AS hunk_no, (lines + 1)::INT AS old_line, (lines + 1)::INT AS new_line, '+one more line' AS hunk FROM d WHERE lines < 2000""")
+def text_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    pairs = d.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("before"), F.concat("text", F.lit("\none more line")).alias("after"))
+    return diffs.text(pairs).where("NOT fallback").select("pair_id", "fallback", "hunk_no", "old_line", "new_line", F.array_join("lines", "|").alias("hunk"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions_by_term(spark, sf_dir)
 

@@ -172,10 +172,26 @@ def matches(query: Query, tokens: Column) -> Column:
     return out
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, tf, positions, length): one row per document and token; to be stored, by token ranges."""
-    rows = docs.select(F.col(key).alias("key"), tokenize(text).alias("t")).select("key", F.size("t").alias("length"), F.posexplode("t").alias("pos", "token"))
-    return rows.groupBy("key", "token").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"), F.first("length").alias("length"))
+def postings(docs: DataFrame, key: str, text: str, tokens: list[str] | None = None) -> DataFrame:
+    """(key, token, tf, positions, length): one row per document and token; to be stored, by token ranges.
+
+    With tokens given only theirs are made, within the document's row and without a shuffle.
+    """
+    rows = docs.select(F.col(key).alias("key"), tokenize(text).alias("t")).withColumn("length", F.size("t"))
+    if tokens is None:
+        rows = rows.select("key", "length", F.posexplode("t").alias("pos", "token"))
+        return rows.groupBy("key", "token").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"), F.first("length").alias("length"))
+    own = lambda token: F.filter(F.transform("t", lambda x, i: F.when(x == token, i)), lambda i: i.isNotNull())
+    found = F.array(*[F.struct(F.lit(t).alias("token"), own(t).alias("positions")) for t in dict.fromkeys(tokens)])
+    rows = rows.where(F.arrays_overlap("t", F.array(*[F.lit(t) for t in tokens]))) if tokens else rows.limit(0)
+    rows = rows.select("key", "length", F.explode(found).alias("p")) if tokens else rows.select("key", "length", F.struct(F.lit("").alias("token"), F.array().cast("array<int>").alias("positions")).alias("p"))
+    return rows.where(F.size("p.positions") > 0).select("key", "p.token", F.size("p.positions").cast("long").alias("tf"), "p.positions", "length")
+
+
+def lengths(docs: DataFrame, text: str) -> DataFrame:
+    """One row: documents that have tokens and their mean length, for bm25."""
+    n = docs.select(F.size(tokenize(text)).alias("n")).where("n > 0")
+    return n.agg(F.count("*").alias("n_docs"), F.avg("n").alias("mean_length"))
 
 
 def statistics(postings_rows: DataFrame) -> DataFrame:
@@ -229,8 +245,13 @@ def section_prefix(number: str | Column, prefix: str) -> Column:
     return (n == prefix) | F.startswith(F.lower(n), F.lit(prefix.lower() + "."))
 
 
-def search_blocks(blocks: DataFrame, sections: DataFrame, titles: DataFrame, query: str, kinds: list[str] | None = None, relation_blocks: DataFrame | None = None, live: DataFrame | None = None, limit: int = MAX_RESULTS, offset: int = 0) -> DataFrame:
-    """Ranked blocks of live snapshots with their section, the document's title and a snippet."""
+def search_blocks(blocks: DataFrame, sections: DataFrame, titles: DataFrame, query: str, kinds: list[str] | None = None, relation_blocks: DataFrame | None = None, live: DataFrame | None = None, limit: int = MAX_RESULTS, offset: int = 0, index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """Ranked blocks of live snapshots with their section, the document's title and a snippet.
+
+    index: the stored postings of the blocks, sorted by token, and stats their lengths; only the
+    query's tokens are read of them, and only blocks that hold one are searched. Without them
+    the blocks are tokenized anew.
+    """
     q = parse_query(query)
     named = sections.select("snapshot_id", F.col("id").alias("section_id"), F.col("number").alias("section_number"), "path")
     rows = blocks.join(named, ["snapshot_id", "section_id"], "left")
@@ -244,12 +265,20 @@ def search_blocks(blocks: DataFrame, sections: DataFrame, titles: DataFrame, que
         rows = rows.where(section_prefix("section_number", prefix))
     if relation_blocks is not None:
         rows = rows.join(relation_blocks.select("snapshot_id", F.col("block_id").alias("id")), ["snapshot_id", "id"], "left_semi")
-    hits = rows.withColumn("tokens", token_string("text")).where(matches(q, F.col("tokens")))
     needles = [n for g in [*q.groups, q.required] for n, _ in g]
+    tokens = sorted({t for n in needles for t in needle_tokens(n)})
     key = F.concat_ws("|", "snapshot_id", "id")
-    scores = bm25(postings(blocks.select(key.alias("k"), "text"), "k", "text"), [t for n in needles for t in needle_tokens(n)])
+    rows = rows.withColumn("key", key)
+    if index is None:
+        all_blocks = blocks.select(key.alias("k"), "text")
+        own, stats = postings(all_blocks, "k", "text", tokens), lengths(all_blocks, "text")
+    else:
+        own = index.where(F.col("token").isin(*tokens)) if tokens else index.limit(0)
+        rows = rows.join(own.select("key"), "key", "left_semi")
+    hits = rows.withColumn("tokens", token_string("text")).where(matches(q, F.col("tokens")))
+    scores = bm25(own, tokens, stats)
     text, spans = snippet("text", needles)
-    out = hits.withColumn("key", key).join(scores, "key", "left").join(titles.select("rfc", "title"), "rfc", "left")
+    out = hits.join(scores, "key", "left").join(titles.select("rfc", "title"), "rfc", "left")
     out = out.select("rfc", F.coalesce("title", F.concat(F.lit("RFC "), F.col("rfc").cast("string"))).alias("title"), F.col("id").alias("block_id"), "section_number", F.coalesce("path", F.array().cast("array<string>")).alias("path"), F.coalesce("score", F.lit(0.0)).alias("score"), text.alias("snippet"), spans.alias("highlights"), scalars.citation_id("snapshot_id", "id", F.lit(0), "text").alias("citation_id"))
     return out.orderBy(F.desc("score"), "rfc", "block_id").offset(offset).limit(limit)
 
@@ -269,6 +298,7 @@ def search_catalog(catalog: DataFrame, query: str, limit: int = MAX_RESULTS, off
     if not needles:
         return rows.drop("_text").withColumn("score", F.lit(0.0)).orderBy("rfc").offset(offset).limit(limit)
     hits = rows.where(matches(q, token_string("_text")))
-    scores = bm25(postings(catalog.withColumn("_text", text), "rfc", "_text"), [t for n in needles for t in needle_tokens(n)])
+    tokens, whole = [t for n in needles for t in needle_tokens(n)], catalog.withColumn("_text", text)
+    scores = bm25(postings(whole, "rfc", "_text", tokens), tokens, lengths(whole, "_text"))
     out = hits.drop("_text").join(scores.withColumnRenamed("key", "rfc"), "rfc", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     return out.orderBy(F.desc("score"), "rfc").offset(offset).limit(limit)
