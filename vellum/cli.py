@@ -1,4 +1,4 @@
-"""python -m vellum.cli STORE sync FOLDER | status | outline N | requirements N | references N | search QUERY | verify ID | diff A B MODE | reanalyze | reindex"""
+"""python -m vellum.cli STORE sync FOLDER | status | outline N | requirements N | references N | search QUERY | verify ID | diff A B MODE | reanalyze | reindex | vacuum"""
 
 from __future__ import annotations
 
@@ -21,9 +21,8 @@ def main(args: list[str]) -> int:
             print(json.dumps({"generation": service.store.ingest(found.selectExpr("rfc", "raw", "'' AS metadata_hash"))}))
         elif command == "status":
             print(json.dumps(service.status()))
-        elif command in ("reanalyze", "reindex"):
-            stored = service.table("snapshots").select("rfc", "raw", "metadata_hash")
-            print(json.dumps({"generation": service.store.ingest(stored)}))
+        elif command in ("reanalyze", "reindex", "vacuum"):
+            print(json.dumps({"generation": getattr(service.store, command)()}))
         else:
             calls = {"outline": lambda: service.read(rest[0]), "requirements": lambda: service.requirements(rest[0]), "references": lambda: service.references(rest[0]), "search": lambda: service.search(rest[0]), "verify": lambda: service.verify_citation(*rest), "diff": lambda: service.diff(*rest)}
             for row in calls[command]().toJSON().toLocalIterator():

@@ -1,12 +1,18 @@
-"""Snapshot store: immutable Parquet versions and a manifest that names the current ones.
-
-Parquet has no transactions, so a commit writes new version folders and then one small
-manifest version; readers resolve the newest manifest once and see all tables as of it. The
-driver handles file names and counts, never rows.
+"""Snapshot store: immutable Parquet folders and a manifest that names the current ones.
+
+Parquet has no transactions, so a commit writes new folders and then one small manifest
+version; readers resolve the newest manifest once and see all tables as of it. A table may be
+several folders: an ingest appends what its documents need, whatever the store's size, and
+lists the snapshots that retire; readers leave these out. `vacuum` rewrites a table as one
+folder and deletes what no manifest names. Two writers cannot publish the same generation: the
+second finds the first's lock and is told that the store is busy. The driver handles file
+names and counts, never rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -58,8 +64,20 @@ def orphans(rows: DataFrame, snapshots: DataFrame) -> DataFrame:
     return rows.join(snapshots.select(F.col("id").alias("snapshot_id")), "snapshot_id", "left_anti")
 
 
+#: The layout of the stored tables; readers fill in what folders of an earlier one lack.
+LAYOUT = 2
+# Columns that later layouts added, with the value that earlier rows have.
+ADDED = {"snapshots": {"metadata_hash": ""}, "counters": {"warnings": None}, "postings": {"positions": None}}
+#: Tables that hold rows of snapshots, by the column that names the snapshot.
+BY_SNAPSHOT = {"snapshots": "id", **dict.fromkeys(("sections", "blocks", "mentions", "requirements", "references", "citations", "counters", "postings", "lengths"), "snapshot_id")}
+
+
+class StoreBusy(Exception):
+    """Another writer has published the generation that this one was to become."""
+
+
 class Store:
-    """Tables under `root`, each in version folders; manifests list (table, path) for a generation."""
+    """Tables under `root`, each in folders; manifests list (table, path, layout) for a generation."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -74,61 +92,139 @@ class Store:
         if not fs.exists(folder):
             return 0
         # A manifest counts once its writer has put its success mark.
-        done = [int(s.getPath().getName()[1:]) for s in fs.listStatus(folder) if fs.exists(path(f"{self.root}/manifest/{s.getPath().getName()}/_SUCCESS"))]
-        return max(done, default=0)
+        names = [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()]
+        return max((int(n[1:]) for n in names if fs.exists(path(f"{self.root}/manifest/{n}/_SUCCESS"))), default=0)
 
-    def manifest(self) -> dict[str, str]:
-        g = self.generation()
-        return {r["table"]: r["path"] for r in self.spark.read.parquet(f"{self.root}/manifest/g{g}").collect()} if g else {}
+    def manifest(self) -> dict[str, list[tuple[str, int]]]:
+        """The folders of each table, with the layout that each was written in."""
+        g, out = self.generation(), {}
+        for r in self.spark.read.parquet(f"{self.root}/manifest/g{g}").orderBy("place").collect() if g else []:
+            out.setdefault(r["table"], []).append((r["path"], r["layout"]))
+        return out
 
     def read(self, name: str) -> DataFrame | None:
-        path = self.manifest().get(name)
-        return self.spark.read.parquet(f"{self.root}/{path}") if path else None
-
-    def commit(self, tables: dict[str, DataFrame]) -> int:
-        """Write new versions of the tables, then publish them together; the new generation."""
-        g = self.generation() + 1
+        """A table's live rows: those of retired snapshots are left out."""
         now = self.manifest()
+        if name not in now:
+            return None
+        df = self._folders(name, now[name])
+        if name in BY_SNAPSHOT and "retired" in now:
+            key = BY_SNAPSHOT[name]
+            df = df.join(self._folders("retired", now["retired"]).select(F.col("id").alias(key)).distinct(), key, "left_anti")
+        return df
+
+    def _folders(self, name: str, folders: list[tuple[str, int]]) -> DataFrame:
+        out = None
+        for layout in sorted({n for _, n in folders}):
+            part = self.spark.read.parquet(*[f"{self.root}/{p}" for p, n in folders if n == layout])
+            for column, value in ADDED.get(name, {}).items() if layout < LAYOUT else ():
+                if column not in part.columns:
+                    part = part.withColumn(column, F.lit(value))
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        return out
+
+    def commit(self, tables: dict[str, DataFrame], append: bool = False, base: int | None = None) -> int:
+        """Write the tables' folders, then publish them together; the new generation.
+
+        append: the folders join those that are there. base: the generation that the tables
+        were made from, if it was read before.
+        """
+        g = (self.generation() if base is None else base) + 1
+        now = self.manifest()
+        written = {name: f"{name}/v{g}-{uuid.uuid4().hex[:8]}" for name in tables}
         for name, df in tables.items():
-            df.write.parquet(f"{self.root}/{name}/v{g}")
-            now[name] = f"{name}/v{g}"
-        self.spark.createDataFrame(sorted(now.items()), "table string, path string").coalesce(1).write.parquet(f"{self.root}/manifest/g{g}")
+            df.write.parquet(f"{self.root}/{written[name]}")
+        fs, path = self._fs()
+        if not fs.createNewFile(path(f"{self.root}/manifest/g{g}.lock")):
+            for folder in written.values():
+                fs.delete(path(f"{self.root}/{folder}"), True)
+            raise StoreBusy(f"generation {g} is another writer's")
+        for name, folder in written.items():
+            now[name] = [*(now.get(name, []) if append and name in BY_SNAPSHOT else []), (folder, LAYOUT)]
+        rows = [(name, folder, layout, i) for name in sorted(now) for i, (folder, layout) in enumerate(now[name])]
+        self.spark.createDataFrame(rows, "table string, path string, layout int, place int").coalesce(1).write.parquet(f"{self.root}/manifest/g{g}")
         return g
 
+    def derive(self, docs: DataFrame) -> dict[str, DataFrame]:
+        """All tables of documents (rfc, snapshot_id, raw, metadata_hash); the parsed form is staged, as each table reads it."""
+        from vellum.operators import normative, references, search, structure
+
+        staged = f"{self.root}/staged/{uuid.uuid4().hex}"
+        structure.parse_documents(docs.select("rfc", "snapshot_id", "raw")).write.parquet(staged)
+        parsed = self.spark.read.parquet(staged)
+        sections, blocks = structure.sections(parsed), structure.blocks(parsed)
+        found = normative.mentions(blocks, sections)
+        listed = references.entries(blocks, sections)
+        refs, sites = references.cited(listed, references.sites(blocks, sections))
+        counters = parsed.select("snapshot_id", "quality", "warnings", "text_length").join(normative.coverage(blocks, sections), "snapshot_id", "left")
+        own = docs.select(F.col("snapshot_id").alias("id"), "rfc", "raw", F.sha2("raw", 256).alias("raw_sha256"), "metadata_hash")
+        keyed = blocks.select("snapshot_id", F.concat_ws("|", "snapshot_id", "id").alias("key"), "text")
+        words = search.postings(keyed, "key", "text").withColumn("snapshot_id", F.substring_index("key", "|", 1))
+        sizes = keyed.select("snapshot_id", F.size(search.tokenize("text")).alias("n")).where("n > 0").groupBy("snapshot_id").agg(F.count("*").alias("n_blocks"), F.sum("n").alias("n_tokens"))
+        # Sorted by token, so that a search reads only the parts that hold its tokens.
+        words = words.repartitionByRange("token", "key").sortWithinPartitions("token", "key")
+        return {"snapshots": own, "sections": sections, "blocks": blocks, "mentions": found, "requirements": normative.requirements(found), "references": refs, "citations": sites, "counters": counters, "postings": words, "lengths": sizes}
+
     def ingest(self, docs: DataFrame) -> int | None:
         """Parse, extract and publish new documents (rfc, raw, metadata_hash); the new generation, None if nothing is new.
 
-        A document's older snapshots retire: their rows go and redirects lead to the new id.
+        A document's older snapshots retire and redirects lead to the new id. A snapshot that
+        had retired before is live again, without being parsed a second time.
         """
-        from vellum.operators import normative, references, structure
+        from vellum.operators import normative, structure
 
+        base, now = self.generation(), self.manifest()
         snap = scalars.snapshot_id("rfc", "raw", F.coalesce("metadata_hash", F.lit("")), structure.PARSER_VERSION, normative.EXTRACTOR_VERSION)
-        incoming = docs.withColumn("snapshot_id", snap)
+        incoming = docs.select("rfc", "raw", "metadata_hash").withColumn("snapshot_id", snap).dropDuplicates(["snapshot_id"])
         old = self.read("snapshots")
         new = fresh(incoming, old) if old is not None else incoming
         if new.isEmpty():
             return None
-        parsed = structure.parse_documents(new.select("rfc", "snapshot_id", "raw"))
-        g = self.generation() + 1
-        staged = f"{self.root}/staged/g{g}"
-        parsed.write.parquet(staged)
-        parsed = self.spark.read.parquet(staged)
-        sections, blocks = structure.sections(parsed), structure.blocks(parsed)
-        found = normative.mentions(blocks, sections)
-        listed = references.entries(blocks, sections)
-        refs, sites = references.cited(listed, references.sites(blocks, sections))
-        totals = normative.coverage(blocks, sections)
-        counters = parsed.select(F.col("snapshot_id"), "quality", "warnings", "text_length").join(totals, "snapshot_id", "left")
-        own = new.select(F.col("snapshot_id").alias("id"), "rfc", "raw", F.sha2("raw", 256).alias("raw_sha256"), "metadata_hash")
-        derived = {"snapshots": own, "sections": sections, "blocks": blocks, "mentions": found, "requirements": normative.requirements(found), "references": refs, "citations": sites, "counters": counters}
-        if old is not None:
-            gone = old.join(own.select("rfc").distinct(), "rfc", "left_semi").select("id", "rfc")
-            pairs = gone.select(F.col("id").alias("old_id"), "rfc").join(own.select(F.col("id").alias("new_id"), "rfc"), "rfc").select("old_id", "new_id")
-            redirects = self.read("redirects")
-            none = self.spark.createDataFrame([], "old_id string, new_id string")
-            for name in derived:
-                key = "id" if name == "snapshots" else "snapshot_id"
-                kept = self.read(name).join(gone.select(F.col("id").alias(key)), key, "left_anti")
-                derived[name] = kept.unionByName(derived[name], allowMissingColumns=True)
-            derived["redirects"] = add_redirects(redirects if redirects is not None else none, pairs)
-        return self.commit(derived)
+        if old is None:
+            return self.commit(self.derive(new), base=base)
+        retired = self._folders("retired", now["retired"]).select("id").distinct() if "retired" in now else self.spark.createDataFrame([], "id string")
+        live = new.select("rfc", F.col("snapshot_id").alias("id"))
+        gone = old.join(live.select("rfc").distinct(), "rfc", "left_semi").select("id", "rfc")
+        pairs = gone.select(F.col("id").alias("old_id"), "rfc").join(live.select(F.col("id").alias("new_id"), "rfc"), "rfc").select("old_id", "new_id")
+        redirects = self.read("redirects")
+        none = self.spark.createDataFrame([], "old_id string, new_id string")
+        changed = {
+            "redirects": add_redirects((redirects if redirects is not None else none).join(live.select(F.col("id").alias("old_id")), "old_id", "left_anti"), pairs),
+            "retired": retired.unionByName(gone.select("id")).join(live.select("id"), "id", "left_anti"),
+        }
+        unseen = new.join(retired.select(F.col("id").alias("snapshot_id")), "snapshot_id", "left_anti")
+        return self.commit(self.derive(unseen) | changed, append=True, base=base)
+
+    def reanalyze(self) -> int | None:
+        """Derive every stored document again from its bytes; None if all ids stay, as they do unless a version has changed."""
+        stored = self.read("snapshots")
+        return None if stored is None else self.ingest(stored.select("rfc", "raw", "metadata_hash"))
+
+    def reindex(self) -> int | None:
+        """Make the postings and lengths of all live blocks anew."""
+        from vellum.operators import search
+
+        blocks = self.read("blocks")
+        if blocks is None:
+            return None
+        keyed = blocks.select("snapshot_id", F.concat_ws("|", "snapshot_id", "id").alias("key"), "text")
+        words = search.postings(keyed, "key", "text").withColumn("snapshot_id", F.substring_index("key", "|", 1))
+        sizes = keyed.select("snapshot_id", F.size(search.tokenize("text")).alias("n")).where("n > 0").groupBy("snapshot_id").agg(F.count("*").alias("n_blocks"), F.sum("n").alias("n_tokens"))
+        return self.commit({"postings": words.repartitionByRange("token", "key").sortWithinPartitions("token", "key"), "lengths": sizes})
+
+    def vacuum(self) -> int | None:
+        """Rewrite each table without its retired rows, then delete every folder and manifest that the new one does not name."""
+        if not self.generation():
+            return None
+        tables = {name: self.read(name) for name in self.manifest() if name != "retired"}
+        tables["retired"] = self.spark.createDataFrame([], "id string")
+        g = self.commit(tables)
+        fs, path = self._fs()
+        named = {folder for folders in self.manifest().values() for folder, _ in folders}
+        for status in fs.listStatus(path(self.root)):
+            table = status.getPath().getName()
+            for version in fs.listStatus(status.getPath()):
+                name = version.getPath().getName()
+                if (table == "manifest" and name not in (f"g{g}", f"g{g}.lock")) or (table != "manifest" and f"{table}/{name}" not in named):
+                    fs.delete(version.getPath(), True)
+        return g

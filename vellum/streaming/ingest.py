@@ -22,5 +22,13 @@ def publication_stream(spark: SparkSession, path: str, max_files: int = 1000) ->
 
 def start(spark: SparkSession, path: str, store: Store, checkpoint: str, once: bool = True):
     """The running query; with once=True it takes what is there and ends."""
-    writer = publication_stream(spark, path).writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: store.ingest(batch.persist()) and None)
+
+    def publish(batch: DataFrame, _: int) -> None:
+        kept = batch.persist()
+        try:
+            store.ingest(kept)
+        finally:
+            kept.unpersist()
+
+    writer = publication_stream(spark, path).writeStream.option("checkpointLocation", checkpoint).foreachBatch(publish)
     return (writer.trigger(availableNow=True) if once else writer).start()
