@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.test_functions import RAW
 from vellum.functions import scalars
 from vellum.operators import citations, diffs, evaluation, normative, outline, references, search, structure
-from vellum.plans.store import Store, add_redirects, failures, replace_by, upsert
+from vellum.plans.store import Store, StoreBusy, add_redirects, failures, replace_by, upsert
 from vellum.service import Service, ServiceError, cursor, read_cursor, selector
 from vellum.sources import upstream
 from vellum.streaming import ingest
@@ -173,6 +173,60 @@ def test_service_end_to_end(spark, tmp_path):
         later.requirements("not a number")
 
 
+def test_store_appends_revives_and_vacuums(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    docs = lambda *rows: spark.createDataFrame([(n, bytearray(raw), "m") for n, raw in rows], "rfc long, raw binary, metadata_hash string")
+    second = RAW.replace(b"A client MUST not wait", b"A client SHOULD wait")
+    assert store.vacuum() is None and store.reanalyze() is None and store.reindex() is None
+    assert store.ingest(docs((9999, RAW), (8888, RAW))) == 1
+    first = {r.id for r in store.read("snapshots").where("rfc = 9999").collect()}
+    assert store.ingest(docs((9999, second))) == 2
+    # Only the new document was written; the one that retired is left out.
+    assert len(store.manifest()["blocks"]) == 2 and store.read("snapshots").count() == 2
+    assert not first & {r.id for r in store.read("snapshots").collect()}
+    assert store.read("blocks").select("snapshot_id").distinct().count() == 2
+    # The retired snapshot comes back without a second copy of its rows, and no redirect leads away from it.
+    assert store.ingest(docs((9999, RAW))) == 3
+    assert first <= {r.id for r in store.read("snapshots").collect()} and store.read("snapshots").count() == 2
+    assert not first & {r.old_id for r in store.read("redirects").collect()}
+    assert store.reanalyze() is None and store.reindex() == 4
+    before = {name: store.read(name).count() for name in store.manifest() if name != "retired"}
+    assert store.vacuum() == 5 and {name: store.read(name).count() for name in before} == before
+    assert all(len(folders) == 1 for folders in store.manifest().values()) and store.read("retired").count() == 0
+    assert sorted(p.name for p in (tmp_path / "store/blocks").iterdir()) == [store.manifest()["blocks"][0][0].split("/")[1]]
+    with pytest.raises(StoreBusy):
+        store.commit({"retired": store.read("retired")}, base=4)
+    assert store.generation() == 5
+    # A folder of an earlier layout lacks columns; they read as their defaults.
+    store.read("counters").drop("warnings").write.parquet(f"{store.root}/counters/old")
+    assert store._folders("counters", [("counters/old", 1), store.manifest()["counters"][0]]).where("warnings IS NULL").count() == 2
+
+
+def test_search_ensures_and_follows(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    other = b"Other Matters\n\n1. Scope\n\n   See [RFC9999]. A router MUST forward.\n\nNormative References\n\n   [RFC9999] Editor, A., \"T\", RFC 9999, March 1999.\n"
+    raw = {9999: RAW, 8888: other}
+    fetch = lambda ns: spark.createDataFrame([(n, bytearray(raw[n]), "m") for n in ns if n in raw], "rfc long, raw binary, metadata_hash string")
+    names = "rfc long, title string, abstract string, keywords array<string>, authors array<struct<titlepage_name:string>>, status struct<slug:string,name:string>, stream struct<slug:string,name:string>, obsoletes array<bigint>, obsoleted_by array<bigint>, updates array<bigint>, updated_by array<bigint>"
+    catalog = spark.createDataFrame([(8888, "Other Matters", "routers", [], [], ("std", "Std"), ("ietf", "IETF"), [], [], [], []), (9999, "Waiting", "clients", [], [], ("std", "Std"), ("ietf", "IETF"), [77], [], [], [])], names)
+    service = Service(spark, store, catalog=catalog, fetch=fetch)
+    assert service.ensure([8888, 7777]) == [8888] and service.failures[-1]["rfc"] == 7777
+    assert [r.rfc for r in service.search("waiting", ensure_top_catalog_hits=3).collect()] == [9999]
+    assert store.read("snapshots").count() == 2
+    assert [r.rfc for r in service.search("router forward", ensure_rfcs=[9999]).collect()] == [8888]  # not in the catalog: the text
+    assert [h.rfc for h in service.search("client wait", scope="text").collect()] == [9999]
+    one, two = service.dependencies(8888), service.dependencies(8888, depth=2)
+    assert {r.destination for r in one.collect()} == {"doc:rfc-9999"}
+    assert {(r.destination, r.depth) for r in two.collect()} >= {("doc:rfc-9999", 1), ("doc:rfc-77", 2)}
+
+
+def test_polarity_fidelity_finds_a_wrong_row(spark):
+    schema = "term string, polarity string, exact_text string, char_start long, keywords array<struct<char_start:long,char_end:long>>"
+    rows = [("MUST", "positive", "It MUST go.", 10, [(13, 17)]), ("MUST", "positive", "It MUST not go.", 0, [(3, 7)]), ("MUST NOT", "negative", "It MUST NOT go.", 0, [(3, 11)]), ("MAY", "negative", "It MAY  not go.", 0, [(0, 0)])]
+    r = evaluation.polarity_fidelity(spark.createDataFrame(rows, schema)).first()
+    assert (r.checked, r.by_search, r.disagreements, r.agreement_pct, r.may_not) == (4, 1, 1, 75.0, 0)
+
+
 def test_tokens_and_selectors():
     q = {"query": "x"}
     token = cursor("s", 3, q, 40)

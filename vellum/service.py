@@ -25,7 +25,7 @@ from vellum.plans.store import Store
 PAGE = {"search": 20, "page": 200, "relations": 100, "citations": 20}
 READ_BYTES = (64, 16 << 10, 4 << 20)
 SOURCE_BYTES = 2 << 20
-BATCH, CANDIDATES, DECLARATIVES = 10, 2000, 2000
+BATCH, CANDIDATES, DECLARATIVES, ENSURED, DEPTH = 10, 2000, 2000, 20, 3
 RETRYABLE = ("UPSTREAM_UNAVAILABLE", "UPSTREAM_TIMEOUT", "RATE_LIMITED", "STORE_BUSY")
 
 
@@ -117,6 +117,8 @@ class Service:
     relation_table: DataFrame | None = None
     assets: DataFrame | None = None
     failures: list = field(default_factory=list)
+    #: Of document numbers, their (rfc, raw, metadata_hash); how they are fetched is the caller's matter.
+    fetch: Callable[[list[int]], DataFrame] | None = None
 
     def table(self, name: str) -> DataFrame:
         df = self.store.read(name)
@@ -167,23 +169,48 @@ class Service:
         piece = F.substring("raw", (low or 0) + 1, min((high or 0) - (low or 0), limit))
         return raw.select("rfc", F.lit(low or 0).alias("byte_start"), piece.alias("raw"), scalars.truncate_bytes(piece, limit).alias("text"))
 
-    def search(self, query: str, scope: str = "auto", max_results: int = 20, page: str | None = None, block_kinds: list[str] | None = None) -> DataFrame:
+    def ensure(self, rfcs: list[int]) -> list[int]:
+        """Ingest the documents that are not stored yet, through `fetch`; those that are stored afterwards."""
+        wanted = list(dict.fromkeys(selector(r) for r in rfcs))[:ENSURED]
+        stored = lambda: {r["rfc"] for r in self.store.read("snapshots").where(F.col("rfc").isin(*wanted)).select("rfc").collect()} if self.store.generation() else set()
+        missing = sorted(set(wanted) - stored())
+        if missing and self.fetch is not None:
+            self.store.ingest(self.fetch(missing))
+        here = stored()
+        self.failures += [{"rfc": r, "code": "NOT_FOUND", "message": "could not be ensured"} for r in missing if r not in here]
+        return [r for r in wanted if r in here]
+
+    def search(self, query: str, scope: str = "auto", max_results: int = 20, page: str | None = None, block_kinds: list[str] | None = None, ensure_rfcs: list[int] | None = None, ensure_top_catalog_hits: int = 0) -> DataFrame:
+        """Ranked hits. auto: the catalog if it holds a match or the query has no word to find, else the text.
+
+        Documents named in ensure_rfcs, and so many of the catalog's best hits, are ingested first.
+        """
         if not 2 <= len(query) <= search.MAX_LENGTH:
             raise ServiceError("INVALID_ARGUMENT", "a query has 2 to 2000 characters")
+        one_of("auto", "catalog", "text")(scope)
         limit = number(1, PAGE["search"], PAGE["search"])(max_results)
-        offset = read_cursor(page, self.secret, self.store.generation(), {"query": query, "scope": scope})
         try:
-            if scope != "text" and self.catalog is not None:
-                found = search.search_catalog(self.catalog, query, limit, offset)
-                if scope == "catalog" or not found.isEmpty():
-                    return found
+            parsed = search.parse_query(query)
+            if ensure_rfcs:
+                self.ensure(ensure_rfcs)
+            if ensure_top_catalog_hits > 0 and self.catalog is not None:
+                best = search.search_catalog(self.catalog, query, min(ensure_top_catalog_hits, ENSURED), 0)
+                self.ensure([r["rfc"] for r in best.select("rfc").collect()])
+            offset = read_cursor(page, self.secret, self.store.generation(), {"query": query, "scope": scope})
+            if scope == "auto":
+                positive = bool(parsed.groups or parsed.required)
+                scope = "catalog" if self.catalog is not None and (not positive or not search.search_catalog(self.catalog, query, 1, 0).isEmpty()) else "text"
+            if scope == "catalog":
+                if self.catalog is None:
+                    raise ServiceError("NOT_FOUND", "no catalog")
+                return search.search_catalog(self.catalog, query, limit, offset)
             titles = self.catalog if self.catalog is not None else self.table("snapshots").select("rfc", F.lit(None).cast("string").alias("title"))
-            relation = search.parse_query(query).filters.get("relation")
-            linked = None
+            relation, linked = parsed.filters.get("relation"), None
             if relation:
                 ids = self.table("references").where(F.col("relation").isin(*relation)).select(F.col("id").alias("reference_id"))
                 linked = self.table("citations").join(ids, "reference_id", "left_semi")
-            return search.search_blocks(self.table("blocks"), self.table("sections"), titles, query, block_kinds, linked, self.table("snapshots"), limit, offset)
+            sizes = self.table("lengths").agg(F.sum("n_blocks").alias("n_docs"), (F.sum("n_tokens") / F.sum("n_blocks")).alias("mean_length"))
+            return search.search_blocks(self.table("blocks"), self.table("sections"), titles, query, block_kinds, linked, self.table("snapshots"), limit, offset, self.table("postings"), sizes)
         except search.QueryError as e:
             raise ServiceError("INVALID_ARGUMENT", str(e)) from e
 
@@ -240,14 +267,32 @@ class Service:
             rows = rows.join(self.catalog.select(F.col("rfc").cast("int").alias("target_rfc"), F.col("title").alias("target_title")), "target_rfc", "left")
         return rows.orderBy("ordinal", "id").limit(PAGE["page"])
 
-    def dependencies(self, rfc, direction: str = "outgoing", max_edges: int = MAX_EDGES) -> DataFrame:
-        """Typed edges of one document, of depth 1 whatever depth is asked for."""
+    def dependencies(self, rfc, direction: str = "outgoing", depth: int = 1, max_edges: int = MAX_EDGES) -> DataFrame:
+        """Typed edges within `depth` steps of a document, each with the depth it was met at; DEPTH steps at most.
+
+        Steps beyond the first follow the documents that the store holds.
+        """
         one_of("outgoing", "incoming", "both")(direction)
-        n = selector(rfc)
+        n, steps = selector(rfc), number(1, DEPTH, 1)(depth)
+        self.snapshot(n)
         none = F.array().cast("array<bigint>")
-        meta = self.catalog.where(F.col("rfc") == n) if self.catalog is not None else self.spark.createDataFrame([(n,)], "rfc long").select("rfc", *[none.alias(c) for c in ("obsoletes", "obsoleted_by", "updates", "updated_by")])
-        inbound = self.relation_table if self.relation_table is not None and direction != "outgoing" else self.spark.createDataFrame([], "rfc long, source_rfc long, relation string")
-        return references.edges(self.own("references", n), meta, inbound.where(F.col("rfc") == n), max_edges)
+        names = ("obsoletes", "obsoleted_by", "updates", "updated_by")
+        at, seen, out = [n], {n}, None
+        for step in range(1, steps + 1):
+            refs = self.table("references").where(F.col("rfc").isin(*at))
+            given = self.spark.createDataFrame([(r,) for r in at], "rfc long")
+            meta = given.join(self.catalog.select("rfc", *names), "rfc") if self.catalog is not None else given.select("rfc", *[none.alias(c) for c in names])
+            inbound = self.relation_table if self.relation_table is not None and direction != "outgoing" else self.spark.createDataFrame([], "rfc long, source_rfc long, relation string")
+            found = references.edges(refs, meta, inbound.where(F.col("rfc").isin(*at)), max_edges).withColumn("depth", F.lit(step))
+            out = found if out is None else out.unionByName(found)
+            if step < steps:
+                # At most max_edges numbers a document: the page's own bound, not the corpus's.
+                ends = found.select(F.regexp_extract("destination", r"^doc:rfc-(\d+)$", 1).alias("r")).where("r <> ''").distinct().orderBy("r").limit(max_edges).collect()
+                at = sorted({int(e["r"]) for e in ends} - seen)
+                seen |= set(at)
+                if not at:
+                    break
+        return out
 
     def diff(self, left, right, mode: str = "requirements", max_changes: int = diffs.MAX_CHANGES) -> DataFrame:
         one_of("structure", "text", "requirements", "metadata", "references")(mode)
