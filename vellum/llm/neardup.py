@@ -51,7 +51,7 @@ SKETCH, LOSS = 64, 1e-10
 #: longer ones are listed anew by their full sets first.
 SHORT, LONG = 32, 8192
 #: Values of a full set that pairs are compared by ahead of their confirmation.
-WIDE = 256
+WIDE = 128
 #: A node's rarest lists, whose heads it may be compared with first.
 VOTES = 8
 #: Members of a list that one task compares with one another, or with as many others. Smaller
