@@ -1,7 +1,9 @@
 """Secrets, language ID, URL filters and decontamination against brute force."""
 
+import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -249,3 +251,18 @@ def test_slices_keep_rows():
     batch = pa.RecordBatch.from_pydict({"t": pa.array(["a" * 10, None, "b" * 100, "", "c" * 5])})
     parts = list(secrets.slices(iter([batch]), "t", 12))
     assert sum(len(p) for p in parts) == 5 and [x for p in parts for x in p.column(0).to_pylist()] == batch.column(0).to_pylist()
+
+
+def test_every_labelled_document_is_learnt_from(spark, monkeypatch):
+    """More documents of a language than a sample took (1000): each word, and the fit of each document, counts."""
+    ids = [i for i in range(4200) if zlib.crc32(str(i).encode()) % 4 != 2][:3000]
+    late = sorted(ids, key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[-200:]
+    rows = [(i, ("river " if i in late else "the house and water ") * 40, "en") for i in ids]
+    docs = frame(spark, rows)
+    model = langid.train(docs)
+    odd, common = model.words(["river", "house"])[:, 0]
+    assert odd > common - 4
+    assert all(r.typical for r in langid.predict(docs, model).collect())
+    # Rows in any order, and in any number of tasks, give the same model to the last bit.
+    again = langid.train(docs.orderBy("text", "n_chars").repartition(7))
+    assert (again.prob == model.prob).all() and again.floor == model.floor

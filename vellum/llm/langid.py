@@ -5,12 +5,14 @@ the sum, over all ways to cut it into pieces, of the product of their probabilit
 pass over the word's end positions gives that sum without listing the cuts. A text's score is
 the sum of its words' log-probabilities plus the log of the language's share in training.
 
-Training is expectation maximisation on word counts of a bounded sample of labelled documents
-(about `max_docs` a language, chosen by a hash of doc_id): forward and backward passes give each
-piece's expected count. The vocabulary itself is taken as it is.
+Training is expectation maximisation on the word counts of all labelled documents that are not
+held out. The counts are a table; each round, forward and backward passes over it give each
+piece's expected count, and the driver gets one row a piece and language, whatever the corpus.
+Expected counts are summed as whole multiples of 1 / UNIT, so that the order of the words makes
+no difference. The vocabulary itself is taken as it is.
 
 A document is typical of its language if its mean log-probability a letter is at least the
-lowest of the sample's documents of that language, less MARGIN; of under SHORT letters always.
+lowest of all training documents of that language, less MARGIN; of under SHORT letters always.
 
 Cases: a text that is null or has no letters is `und` with score 0 and not typical; texts and
 words of any length are scored whole (only training cuts words, at MAX_WORD letters); equal scores go to the first language in order; without any labelled document all texts
@@ -32,14 +34,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.llm.secrets import slices
+from vellum.plans.runtime import Scratch
 
 #: The vocabulary's file; a parameter, since it is not part of this repository.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Bound of the training sample: documents a language.
-MAX_DOCS = 1000
 MAX_WORD = 24
 ROUNDS = 3
-#: Letters below which a document's fit is not judged, and what it may fall below the sample's.
+#: Words of a language that a training task goes through at a time.
+HELD = 50_000
+#: Parts of a word that expected counts are rounded to.
+UNIT = 1 << 20
+#: Letters below which a document's fit is not judged, and what it may fall below the training documents'.
 SHORT, MARGIN = 100, 0.5
 #: Probability of a character by itself if no piece has it, and the weight of smoothing.
 CHAR_FLOOR, SMOOTHING = 1e-7, 0.1
@@ -202,21 +207,59 @@ def backward(trie: Trie, codes: np.ndarray, prob: np.ndarray) -> tuple[np.ndarra
     return beta, edges
 
 
-def fit(trie: Trie, words: list[str], counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Piece probabilities of one language from word counts."""
-    prob = np.full((trie.n_pieces, 1), 1.0 / trie.n_pieces)
-    blocks = list(trie.words(words))
-    for _ in range(rounds):
-        expected = np.full(trie.n_pieces, SMOOTHING)
-        for part, codes in blocks:
-            alpha = forward(trie, codes, prob)
-            beta, edges = backward(trie, codes, prob)
-            share = counts[part] / alpha[-1][:, 0]
-            for s, e, rows, ids in edges:
-                weight = alpha[s][rows, 0] * prob[ids, 0] * beta[e][rows, 0] * share[rows]
-                expected += np.bincount(ids, weight, trie.n_pieces)
-        prob = (expected / expected.sum())[:, None]
-    return prob[:, 0]
+def expect(trie: Trie, words: list[str], counts: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """Each piece's expected count, in units of 1 / UNIT, in one language's words; prob: [pieces, 1]."""
+    expected = np.zeros(trie.n_pieces, np.int64)
+    for part, codes in trie.words(words):
+        alpha = forward(trie, codes, prob)
+        beta, edges = backward(trie, codes, prob)
+        share = counts[part] / alpha[-1][:, 0]
+        weights = [np.rint(alpha[s][rows, 0] * prob[ids, 0] * beta[e][rows, 0] * share[rows] * UNIT) for s, e, rows, ids in edges]
+        if edges:
+            expected += np.bincount(np.concatenate([ids for *_, ids in edges]), np.concatenate(weights), trie.n_pieces).astype(np.int64)
+    return expected
+
+
+def learn(counted: DataFrame, trie: Trie, languages: list[str], rounds: int = ROUNDS) -> np.ndarray:
+    """[pieces, languages] probabilities from a table of (lang, word, n)."""
+    context = counted.sparkSession.sparkContext
+    prob = np.full((trie.n_pieces, len(languages)), 1.0 / trie.n_pieces)
+    shared = context.broadcast(trie)
+    for _ in range(rounds if languages else 0):
+        now = context.broadcast(prob)
+
+        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            trie, prob = shared.value, now.value
+            found, held = {}, {lang: ([], []) for lang in languages}
+
+            def flush(lang: str) -> None:
+                words, counts = held.pop(lang)
+                held[lang] = [], []
+                place = languages.index(lang)
+                found[lang] = found.get(lang, 0) + expect(trie, words, np.array(counts, float), prob[:, place : place + 1])
+
+            for batch in batches:
+                for lang, w, c in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    words, counts = held[lang]
+                    for k in range(0, len(w), MAX_WORD):
+                        words.append(w[k : k + MAX_WORD])
+                        counts.append(c)
+                    if len(words) >= HELD:
+                        flush(lang)
+            for lang in languages:
+                flush(lang)
+            for lang, expected in found.items():
+                ids = np.flatnonzero(expected)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(ids), pa.string()), pa.array(ids, pa.int32()), pa.array(expected[ids], pa.int64())], names=["lang", "piece", "units"])
+
+        table = counted.select("lang", "word", "n").mapInArrow(run, "lang string, piece int, units long").groupBy("lang", "piece").agg(F.sum("units").alias("units")).toArrow()
+        expected = np.full(prob.shape, SMOOTHING)
+        places = np.array([languages.index(x) for x in table["lang"].to_pylist()], np.int64)
+        expected[np.asarray(table["piece"]), places] += np.asarray(table["units"]) / UNIT
+        prob = expected / expected.sum(axis=0)
+        now.destroy()
+    shared.destroy()
+    return prob
 
 
 class Model:
@@ -272,14 +315,10 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
 
 
-def train(docs: DataFrame, vocabulary: str = VOCABULARY, max_docs: int = MAX_DOCS) -> Model:
-    """A model from the labelled documents that are not held out; the sample is of about max_docs a language."""
-    trained = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+def train(docs: DataFrame, vocabulary: str = VOCABULARY, floors: bool = True) -> Model:
+    """A model from all labelled documents that are not held out; floors=False leaves out what only `typical` needs."""
+    trained = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("lang").cast("string").alias("lang"), "text")
     n = {r["lang"]: r["count"] for r in trained.groupBy("lang").count().collect()}
-    # A document is in the sample if its hash, as a fraction, is below its language's share.
-    fraction = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / 2.0**32
-    share = F.create_map(*[F.lit(x) for lang, c in n.items() for x in (lang, min(1.0, max_docs / c))]) if n else F.create_map(F.lit(""), F.lit(0.0))
-    texts = trained.where(fraction < F.try_element_at(share, F.col("lang")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -288,25 +327,17 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, max_docs: int = MAX_DOC
             table = pa.table({"lang": pa.array(np.repeat(np.asarray(langs), sizes), pa.string()), "word": found.cast(pa.string())})
             yield from table.group_by(["lang", "word"]).aggregate([([], "count_all")]).rename_columns(["lang", "word", "n"]).to_batches()
 
-    counted = texts.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    table = counted.toArrow()
+    scratch = Scratch(docs.sparkSession, "language")
+    counted = scratch.save(trained.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).sortWithinPartitions("lang"), "words")
+    languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
     trie = Trie(read_pieces(vocabulary))
-    langs = np.asarray(table["lang"].to_pylist() or [], object)
-    languages, columns = sorted(set(langs.tolist())), []
-    for lang in languages:
-        own = np.flatnonzero(langs == lang)
-        part = table.take(own).sort_by("word")
-        words, counts = [], []
-        for w, c in zip(part["word"].to_pylist(), part["n"].to_pylist(), strict=True):
-            for k in range(0, len(w), MAX_WORD):
-                words.append(w[k : k + MAX_WORD])
-                counts.append(c)
-        columns.append(fit(trie, words, np.array(counts, float)))
+    prob = learn(counted, trie, languages)
+    scratch.drop(counted)
     prior = np.log(np.array([n[x] for x in languages], float) / max(1, sum(n[x] for x in languages)))
-    prob = np.stack(columns, axis=1) if columns else np.zeros((trie.n_pieces, 0))
     model = Model(trie, languages, prob, prior)
-    own = predict(texts, model, keep=("lang",)).where((F.col("lang_pred") == F.col("lang")) & (F.col("letters") >= SHORT))
-    model.floor = {r["lang"]: r["least"] - MARGIN for r in own.groupBy("lang").agg(F.min("fit").alias("least")).collect()} if languages else {}
+    if floors and languages:
+        own = predict(trained, model, keep=("lang",)).where((F.col("lang_pred") == F.col("lang")) & (F.col("letters") >= SHORT))
+        model.floor = {r["lang"]: r["least"] - MARGIN for r in own.groupBy("lang").agg(F.min("fit").alias("least")).collect()}
     return model
 
 
