@@ -147,3 +147,13 @@ def test_construction_orders_suffixes():
     for c in range(25):
         tails = Counter(s[c : c + 6] for s in segs)
         assert [bool(h) for h in hits[c]] == [tails[s[c : c + 6]] > 1 for s in segs]
+
+
+def test_full_sets_give_only_links_that_join_components():
+    """A group of near copies of over WIDE shingles: as many pairs as links needed, not as pairs that may be similar."""
+    rnd = random.Random(8)
+    base = [rnd.getrandbits(62) for _ in range(300)]
+    sets = [np.unique(np.array(base[:290] + [rnd.getrandbits(62) for _ in range(10)], np.int64)) for _ in range(60)]
+    labels, n = [bytes([i + 1]) * 16 for i in range(60)], np.full(60, 300)
+    assert len(list(neardup.compare(n, labels, sets, None, 85, 100, block=16))) == 59
+    assert len(list(neardup.compare(n, labels, [s[: neardup.WIDE] for s in sets], neardup.WIDE, 85, 100))) > 59
