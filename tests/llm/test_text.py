@@ -1,6 +1,7 @@
 """Secrets, language ID, URL filters and decontamination against brute force."""
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -146,6 +147,15 @@ def test_vocabulary_keeps_all_letter_pieces_and_their_edges():
         assert any(s == 0 and e == len(pieces[k]) and ids[0] == k for s, e, _, ids in trie.edges(codes)), pieces[k]
 
 
+def test_trie_is_sent_without_its_dense_table():
+    trie = langid.Trie(langid.read_pieces(langid.VOCABULARY))
+    sent = pickle.dumps(trie)
+    assert len(sent) < 2 << 20 < trie.edge.nbytes
+    again = pickle.loads(sent)
+    assert again.__dict__.keys() == trie.__dict__.keys() and again.edge.dtype == trie.edge.dtype
+    assert all(np.array_equal(getattr(again, k), v) for k, v in trie.__dict__.items())
+
+
 def brute_url(url):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     host = re.match(r"[^/?#]*", rest)[0]

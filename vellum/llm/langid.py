@@ -102,6 +102,17 @@ class Trie:
         for c, code in self.chars.items():
             self.code[ord(c)] = code
 
+    def __getstate__(self) -> dict:
+        """The edges there are in place of the dense table: some hundred KB for 39 MB, which every broadcast would leave on each machine's disk."""
+        at = np.flatnonzero(self.edge)
+        return self.__dict__ | {"edge": (len(self.edge), at, self.edge[at])}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        size, at, node = state["edge"]
+        self.edge = np.zeros(size, np.int32)
+        self.edge[at] = node
+
     def words(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(places in the list, matrix of character codes with the mark first) by length, a bounded block at a time."""
         sizes = np.array([len(w) for w in words])
