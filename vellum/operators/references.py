@@ -107,8 +107,12 @@ def resolve_targets(rows: DataFrame, label: str = "label", text: str = "raw_text
 
 def entries(blocks: DataFrame, sections: DataFrame) -> DataFrame:
     """The listed references, normative or informative by the titles above them; others are dropped."""
-    above = ancestor_titles(sections).join(sections.select("snapshot_id", "id", F.col("kind").alias("section_kind")), ["snapshot_id", "id"]).withColumnRenamed("id", "section_id")
-    rows = blocks.where("kind = 'reference_entry'").join(above, ["snapshot_id", "section_id"])
+    rows = blocks.where("kind = 'reference_entry'")
+    if "section_titles" in blocks.columns:
+        rows = rows.withColumnRenamed("section_titles", "titles")
+    else:
+        above = ancestor_titles(sections).join(sections.select("snapshot_id", "id", F.col("kind").alias("section_kind")), ["snapshot_id", "id"]).withColumnRenamed("id", "section_id")
+        rows = rows.join(above, ["snapshot_id", "section_id"])
     which = F.filter("titles", lambda t: t.isin("normative references", "informative references"))
     relation = F.when(F.size(which) > 0, F.split(F.get(which, F.lit(0)), " ")[0]).when(F.col("section_kind") == "references", F.lit("informative"))
     rows = rows.withColumn("relation", relation).withColumn("label", F.trim(F.regexp_extract("text", fixed.ENTRY_LABEL, 1)))
@@ -120,8 +124,10 @@ def entries(blocks: DataFrame, sections: DataFrame) -> DataFrame:
 
 def sites(blocks: DataFrame, sections: DataFrame) -> DataFrame:
     """Where the text cites a label: block, offset and label, outside the lists of references."""
-    kinds = sections.select("snapshot_id", F.col("id").alias("section_id"), F.col("kind").alias("section_kind"))
-    rows = blocks.where("kind <> 'reference_entry'").join(kinds, ["snapshot_id", "section_id"], "left").where("section_kind IS NULL OR section_kind NOT IN ('references', 'authors', 'index')")
+    rows = blocks.where("kind <> 'reference_entry'")
+    if "section_kind" not in blocks.columns:
+        rows = rows.join(sections.select("snapshot_id", F.col("id").alias("section_id"), F.col("kind").alias("section_kind")), ["snapshot_id", "section_id"], "left")
+    rows = rows.where("section_kind IS NULL OR section_kind NOT IN ('references', 'authors', 'index')")
     found = rows.where(F.contains("text", F.lit("["))).select("*", F.posexplode(scalars.places("text", fixed.CITATION_SITE, 1)).alias("site_no", "p"))
     near = F.substr("text", F.col("p.at") + 1, F.length("p.inner") + 4)
     around = F.substr("text", F.greatest(F.col("p.at") - 40, F.lit(0)) + 1, F.least(F.col("p.at"), F.lit(40)) + 80)
